@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate
+from tallygrid.llm import decontaminate, exactdedup, langid
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op3_langid": langid.query,
+    "op8_exactdedup": exactdedup.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
+    "op8_exactdedup": exactdedup.SQL,
 }
