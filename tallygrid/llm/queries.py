@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontaminate, exactdedup, langid
+from tallygrid.llm import bitpack, decontaminate, exactdedup, langid, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_langid": langid.query,
+    "op6_bitpack": bitpack.query,
     "op8_exactdedup": exactdedup.query,
+    "op9_warc": warc.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op8_exactdedup": exactdedup.SQL,
+    "op9_warc": warc.SQL,
 }
