@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import bitpack, decontaminate, exactdedup, langid, warc
+from tallygrid.llm import bitpack, decontaminate, exactdedup, langid, suffixdedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_bitpack": bitpack.query,
     "op8_exactdedup": exactdedup.query,
     "op9_warc": warc.query,
+    "op10_suffixdedup": suffixdedup.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
