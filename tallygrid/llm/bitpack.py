@@ -17,6 +17,7 @@ document of one file; an empty table has no files; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 import unicodedata
 import zlib
@@ -96,7 +97,8 @@ _KIND[0x27] = 0
 class PieceEncoder:
     """Ids of whole texts from the ids of their distinct pieces."""
 
-    GROUP = 512  # pieces joined by blanks for one call
+    GROUP, CALL = 512, 32  # pieces joined by blanks, and such texts in one call
+    KEPT = 1 << 20  # pieces whose ids a worker keeps (some 40 MB) from step to step
 
     def __init__(self, file: str):
         import json
@@ -112,6 +114,7 @@ class PieceEncoder:
         self.is_end = np.zeros(self.size, dtype=bool)
         if self.by_piece:
             self.is_end[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self._forget()
 
     @property
     def bits(self) -> int:
@@ -134,7 +137,7 @@ class PieceEncoder:
         found: list[np.ndarray] = []
         lengths = np.zeros(len(pieces), dtype=np.int64)
         joined = [" ".join([pieces[k] for k in single[i : i + self.GROUP]]) for i in range(0, len(single), self.GROUP)]
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *self.whole(joined)])
+        flat = np.concatenate([np.zeros(0, dtype=np.int64), *(x for i in range(0, len(joined), self.CALL) for x in self.whole(joined[i : i + self.CALL]))])
         ends = np.flatnonzero(self.is_end[flat]) + 1
         if len(ends) != len(single) or len(flat) and ends[-1] != len(flat):
             raise ValueError("pieces and words differ in number")
@@ -169,19 +172,45 @@ class PieceEncoder:
         lowered = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
         key = T.Rolling(T.BYTE_VALUES[lowered]).spans(start, end)
         distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
-        low = lowered.tobytes()
-        ids, places = self.pieces([low[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        owner, at = T.ranges(places[number], places[number + 1])
-        size = np.diff(places)[number]
-        before = np.concatenate([[0], np.cumsum(size)])
-        return ids[at], before[np.searchsorted(start, offsets)]
+        place = self._known(distinct, first, lowered.tobytes(), start, end)
+        lo, hi = self.lo[place][number], self.hi[place][number]
+        _, at = T.ranges(lo, hi)
+        before = np.concatenate([[0], np.cumsum(hi - lo)])
+        return self.ids[at], before[np.searchsorted(start, offsets)]
+
+    def _known(self, distinct: np.ndarray, first: np.ndarray, low: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of pieces among the kept ones; what is missing is encoded and kept, KEPT pieces at most."""
+        place = np.searchsorted(self.keys, distinct)
+        have = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
+        if len(self.keys) + int((~have).sum()) > self.KEPT:
+            self._forget()
+            place, have = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
+        if have.all():
+            return place
+        new = first[~have]
+        ids, places = self.pieces([low[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        at = place[~have]
+        self.keys = np.insert(self.keys, at, distinct[~have])
+        self.lo, self.hi = np.insert(self.lo, at, places[:-1] + len(self.ids)), np.insert(self.hi, at, places[1:] + len(self.ids))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return np.searchsorted(self.keys, distinct)
+
+    def _forget(self) -> None:
+        self.keys, self.lo, self.hi = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+
+
+@functools.cache
+def encoder_of(file: str) -> PieceEncoder:
+    """One encoder a worker, with the pieces that it keeps."""
+    return PieceEncoder(file)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encoder: PieceEncoder, end_id: int | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids of documents, their sizes, their token ids end to end with the end id after each) for steps of (id, text)."""
     for b in batches:
         data, offsets = T.text_bytes(b.column(1))
-        for i, j in T.steps(offsets, 16 << 20):
+        for i, j in T.steps(offsets):
             ids, places = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if end_id is not None:
                 ids = np.insert(ids, places[1:], end_id)
@@ -195,7 +224,7 @@ def write_files(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str =
     rows, and would otherwise encode everything twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(file)
+        encoder = encoder_of(file)
         shard, number = TaskContext.get().partitionId(), 0
         for names, sizes, ids in encoded(batches, encoder, end_id):
             doc_ids, ends = names.to_numpy(zero_copy_only=False), np.cumsum(sizes)
