@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import bitpack, decontaminate, exactdedup, langid, suffixdedup, warc
+from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, suffixdedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_langid": langid.query,
+    "op4_jaccard": jaccard.query,
     "op6_bitpack": bitpack.query,
     "op8_exactdedup": exactdedup.query,
     "op9_warc": warc.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
+    "op4_jaccard": jaccard.SQL,
     "op8_exactdedup": exactdedup.SQL,
     "op9_warc": warc.SQL,
 }
