@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, suffixdedup, warc
+from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, pieces, suffixdedup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_langid": langid.query,
     "op4_jaccard": jaccard.query,
+    "op5_pieces": pieces.query,
     "op6_bitpack": bitpack.query,
     "op8_exactdedup": exactdedup.query,
     "op9_warc": warc.query,
