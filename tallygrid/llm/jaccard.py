@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textkit as T
 from .components import components
-from .staging import release_shuffles, stage
+from .staging import discard, release_shuffles, stage
 
 #: Production parameters of the contract: words of a shingle, and the threshold in percent.
 SHINGLE, PERCENT = 4, 85
 #: Ratio of neighbouring size classes: more segments in a class against more documents in two.
 RATIO = 1.7
 CHUNK = 1024
+#: Text bytes of a step (and of a block of keys): a step's arrays take some 60 bytes a byte.
+STEP = 2 << 20
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.0085
 _KINDS = T.splitmix64(np.arange(1000, 1016, dtype=np.uint64))
@@ -158,7 +160,7 @@ def _blocks(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for b in batches:
             data, offsets = T.text_bytes(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in T.steps(offsets):
+            for i, j in T.steps(offsets, STEP):
                 h, o = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 p1, p2 = prints(h, o)
                 key, row = keys(h, o, sizes)
@@ -289,44 +291,65 @@ def _pairs(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _table_sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("set")]
+    data, offsets = T.text_bytes(table.column("set"))
+    values = (data if data.ctypes.data % 8 == 0 else data.copy()).view(np.uint64)
+    return [values[a:z] for a, z in zip(offsets[:-1] // 8, offsets[1:] // 8, strict=True)]
 
 
-def _search(clustered: DataFrame, percent: int) -> DataFrame:
-    """Links of all clusters. clustered: (cluster, doc_id, weight, set)."""
+def _with_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """`chosen` (doc_id and other columns) with the sets of its documents: texts are read again, and stay where they are
+    read as long as `chosen` is small enough to go to all executors."""
+    names = chosen.columns
+    small = chosen.count() * (16 + 8 * len(names)) <= X.BROADCAST_BYTES
+    picked = docs.join(F.broadcast(chosen) if small else chosen, "doc_id").select(*names, "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = T.text_bytes(b.column(len(names)))
+            for i, j in T.steps(offsets, STEP):
+                h, o = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(names))), pa.array([h[a:z].tobytes() for a, z in zip(o[:-1], o[1:], strict=True)], pa.binary())], [*names, "set"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    return picked.mapInArrow(work, f"{fields}, set binary")
+
+
+def _search(docs: DataFrame, chosen: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links of all clusters. chosen: (cluster, doc_id, weight)."""
 
     def within(table: pa.Table) -> pa.Table:
         out = []
-        for cluster in np.unique(table.column("part").to_numpy()):
-            t = table.filter(pc.equal(table.column("part"), cluster))
-            ids, weight = t.column("doc_id").to_numpy(), t.column("weight").to_numpy()
-            found = _links(_table_sets(t), np.lexsort((ids, -weight)), percent)
-            out.append(_pairs(ids, found))
+        part = table.column("part").to_numpy()
+        sets = _table_sets(table)
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            ids, weight = table.column("doc_id").to_numpy()[at], table.column("weight").to_numpy()[at]
+            out.append(_pairs(ids, _links([sets[k] for k in at], np.lexsort((ids, -weight)), percent)))
         return pa.Table.from_batches(out)
 
-    count = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("h"))
+    count = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("h"))
     count = stage(count.select("cluster", "n", (-F.col("h.neg")).alias("hub"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    docs = clustered.join(count, "cluster")
+    placed = chosen.join(count, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     # the hub of a large cluster stands in each of its chunks
-    chunk = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
-    parts = docs.select("cluster", "doc_id", "weight", "set", F.explode(chunk).alias("chunk")).withColumn("part", F.xxhash64("cluster", "chunk"))
-    total = count.agg(F.sum("n")).first()[0] or 0
-    groups = total // 256 + 1
-    links = stage(parts.withColumn("task", F.pmod("part", F.lit(groups))).select("task", "part", "doc_id", "weight", "set").groupBy("task").applyInArrow(within, "a bigint, b bigint"))
+    chunk = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    tasks = (count.agg(F.sum("n")).first()[0] or 0) // 256 + 1
+    parts = placed.select("doc_id", "weight", F.transform(chunk, lambda c: F.xxhash64("cluster", c)).alias("parts"))
+    sets = _with_sets(docs, stage(parts), width).select("doc_id", "weight", "set", F.explode("parts").alias("part"))
+    links = stage(sets.withColumn("task", F.pmod("part", F.lit(tasks))).groupBy("task").applyInArrow(within, "a bigint, b bigint"))
     if not count.filter(F.col("chunks") > 1).head(1):
         return links
 
     # large clusters: what is outside the largest component is searched against all chunks
     label = components(links, "a", "b").withColumnRenamed("node", "doc_id")
-    large = docs.filter(F.col("chunks") > 1).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    large = placed.filter(F.col("chunks") > 1).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     size = large.groupBy("cluster", "label").count()
     main = size.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-    large = stage(large.join(main, "cluster").select("cluster", "doc_id", "label", "main", "set", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")))
-    rest = large.filter("label <> main")
-    pieces = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("pieces"))
-    chunks = count.select("cluster", "chunks")
-    asked = rest.join(pieces, "cluster").join(chunks, "cluster").select("cluster", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "label", "set", F.lit(True).alias("asks"))
-    held = large.join(pieces, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "chunk", "doc_id", "label", "set", F.lit(False).alias("asks"))
+    large = stage(large.join(main, "cluster").select("cluster", "chunks", "doc_id", "label", (F.col("label") != F.col("main")).alias("asks"), "own"))
+    pieces = large.filter("asks").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("pieces"))
+    # rows of a cluster that has nothing outside drop out here
+    large = _with_sets(docs, stage(large.join(pieces, "cluster")), width)
+    asked = large.filter("asks").select("cluster", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "label", "set", "asks")
+    held = large.select("cluster", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("own").alias("chunk"), "doc_id", "label", "set", F.lit(False).alias("asks"))
 
     def across(table: pa.Table) -> pa.Table:
         ids, asks = table.column("doc_id").to_numpy(), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
@@ -356,24 +379,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     rows = stage(rows.withColumn("p1", own))
     classes = rows.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("class_id"))
 
+    discard(blocks)  # all that is needed of it is written by now
     edges = _stars(postings)
     cluster = components(edges, "doc_id", "hub").select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
     weight = edges.groupBy("doc_id").agg(F.max("weight").alias("weight"))
-    chosen = stage(cluster.join(weight, "doc_id").filter(F.col("cluster").isNotNull()))
-    lonely = chosen.groupBy("cluster").count().filter("count > 1").select("cluster")
-    chosen = stage(chosen.join(lonely, "cluster", "left_semi"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = T.text_bytes(b.column(3))
-            for i, j in T.steps(offsets):
-                h, o = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.array([h[a:z].tobytes() for a, z in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["cluster", "doc_id", "weight", "set"])
-
-    small = chosen.count() * 24 <= X.BROADCAST_BYTES
-    picked = docs.join(F.broadcast(chosen) if small else chosen, "doc_id").select("cluster", "doc_id", "weight", "text")
-    clustered = stage(picked.mapInArrow(sets, "cluster bigint, doc_id bigint, weight bigint, set binary").dropDuplicates(["doc_id"]), "none")
-    links = _search(clustered, percent)
+    several = F.count(F.lit(1)).alias("n")
+    alone = cluster.groupBy("cluster").agg(several).filter("n > 1").select("cluster")
+    chosen = stage(cluster.join(alone, "cluster", "left_semi").join(weight, "doc_id"))
+    release_shuffles(spark)
+    links = _search(docs, chosen, percent, width)
     release_shuffles(spark)
 
     # from representatives to classes, then components of classes

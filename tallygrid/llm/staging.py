@@ -29,7 +29,21 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a stage that no later result reads."""
+    spark = staged.sparkSession
+    _delete(spark, staged._stage_path)
+    _written.remove((spark, staged._stage_path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -42,9 +56,7 @@ def remove_stages() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit; then the folder's owner removes it
             return
 
