@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, pieces, suffixdedup, warc
+from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, licenses, pieces, suffixdedup, tokencounts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_tokencounts": tokencounts.query,
     "op3_langid": langid.query,
     "op4_jaccard": jaccard.query,
     "op5_pieces": pieces.query,
     "op6_bitpack": bitpack.query,
+    "op7_licenses": licenses.query,
     "op8_exactdedup": exactdedup.query,
     "op9_warc": warc.query,
     "op10_suffixdedup": suffixdedup.query,
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op4_jaccard": jaccard.SQL,
+    "op7_licenses": licenses.SQL,
     "op8_exactdedup": exactdedup.SQL,
     "op9_warc": warc.SQL,
 }
