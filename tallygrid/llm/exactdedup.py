@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,9 @@ def _keys(table: pa.Table) -> np.ndarray:
     return T.text_bytes(table.column("digest"))[0].view(np.uint8).copy().view(np.uint64).reshape(-1, 4)
 
 
-def resolve_bucket(history: pa.Table, batch: pa.Table) -> pa.Table:
-    """(digest, keep_id, group_size) for all digests of one bucket."""
+def resolve_bucket(table: pa.Table) -> pa.Table:
+    """(digest, keep_id, group_size) for all digests of one bucket, historical and new."""
+    history, batch = table.filter(table.column("old")), table.filter(pc.invert(table.column("old")))
     old, new = _keys(history), _keys(batch)
     index = PerfectHash(old)
     slot = index.slots(old)
@@ -105,24 +107,20 @@ def resolve_bucket(history: pa.Table, batch: pa.Table) -> pa.Table:
     })
 
 
-def _groups(rows: DataFrame, buckets: int) -> DataFrame:
+def winners(rows: DataFrame, is_history, n: int) -> DataFrame:
+    """(digest, keep_id, group_size) over a table of n rows (doc_id, digest), some of them historical."""
     first = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")
-    out = rows.groupBy("digest").agg(F.max("doc_id").cast("bigint").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return out.withColumn("bucket", (first % buckets).cast("int"))
-
-
-def winners(history: DataFrame, batch: DataFrame, rows: int) -> DataFrame:
-    """(digest, keep_id, group_size) over two tables of (doc_id, digest), `rows` in all."""
-    buckets = rows // BUCKET + 1
-    old, new = _groups(history, buckets), _groups(batch, buckets)
-    return old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(resolve_bucket, "digest binary, keep_id bigint, group_size bigint")
+    groups = rows.withColumn("old", F.coalesce(is_history, F.lit(False))).groupBy("digest", "old")
+    counted = groups.agg(F.max("doc_id").cast("bigint").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    dealt = counted.withColumn("bucket", (first % (n // BUCKET + 1)).cast("int"))
+    return dealt.groupBy("bucket").applyInArrow(resolve_bucket, "digest binary, keep_id bigint, group_size bigint")
 
 
 def dedup(docs: DataFrame, is_history, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256. `is_history`: which rows (a condition on
     doc_id) form the historical index; the others are the batch that is held against it."""
     rows = stage(digests(docs, doc_id, text))
-    found = winners(rows.filter(is_history), rows.filter(~is_history), rows.count())
+    found = winners(rows, is_history, rows.count())
     return rows.join(found, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
