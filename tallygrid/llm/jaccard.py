@@ -5,9 +5,10 @@ Documents are sets of distinct word shingles. Two link when 100 * |A & B| >= 85
 1. Equal sets are one class; a class is represented by its smallest id.
 2. Candidates. A linked pair of sizes a, b differs in at most d = 15 (a + b) / 185 shingles. Sizes fall into overlapping classes such
    that every possible pair shares one; in a class, shingles are dealt by hash into m = d + slack segments, so a
-   linked pair has at least `slack` equal segments, and an equal segment is a key that both have. (Empty segments are keys
+   linked pair has at least m - d equal segments, and an equal segment is a key that both have. (Empty segments are keys
    only for a document that has `slack` of them or more; otherwise an equal one that isn't empty exists.) Which keys
-   occur elsewhere is asked by packed exchange, so documents without a near copy drop out before any row of theirs is made.
+   occur elsewhere is asked by packed exchange, and a document that shares fewer keys than a partner must have drops
+   out before any row of it is made.
 3. Each key's documents hang on the one among them that shares most keys in all (a star, never all pairs); components
    of these edges are clusters, and no link leaves a cluster.
 4. Within a cluster, T-occurrence search over inverted lists finds each document's partners: DivideSkip counts the
@@ -47,6 +48,8 @@ CHUNK = 1024
 STEP = 2 << 20
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.0085
+#: A probe costs as much as so many steps of a merge.
+PROBE = 16
 _KINDS = T.splitmix64(np.arange(1000, 1016, dtype=np.uint64))
 
 
@@ -115,12 +118,14 @@ class Sizes:
         return np.concatenate([np.zeros(0, dtype=np.int64), *row]), np.concatenate([np.zeros(0, dtype=np.int64), *kind])
 
 
-def keys(h: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """The segment keys of a step's sets, and the row of each."""
+def keys(h: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, ...]:
+    """The segment keys of a step's sets and the group of each; each group's row and need. A group is a row in one size class; two
+    linked sets of a class have at least `need` of its keys in common, for either one's need."""
     size = np.diff(offsets)
     row, kind = sizes.of(size)
+    none = np.zeros(0, dtype=np.int64)
     if not len(row):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, none
     m = sizes.segments[kind]
     base = np.concatenate([[0], np.cumsum(m)])
     owner, at = T.ranges(offsets[row], offsets[row + 1])
@@ -134,10 +139,14 @@ def keys(h: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray,
     which = np.repeat(np.arange(len(row)), m)
     segment = np.arange(base[-1]) - base[which]
     empty = np.bincount(which[count == 0], minlength=len(row))
-    use = (count > 0) | (empty >= sizes.slack[kind])[which]
+    all_of_it = empty >= sizes.slack[kind]
+    use = (count > 0) | all_of_it[which]
     tag = T.splitmix64(((kind[which] << 40) + segment).astype(np.uint64) ^ _KINDS[7])
     key = T.splitmix64(low + (high << np.uint64(32)) + count.astype(np.uint64) * _KINDS[4] ^ tag)
-    return key[use], row[which[use]]
+    a = size[row]
+    largest = np.minimum(a * 100 // sizes.percent, sizes.most[kind])
+    need = m - (100 - sizes.percent) * (a + largest) // (100 + sizes.percent) - np.where(all_of_it, 0, empty)
+    return key[use], which[use], row, need
 
 
 def prints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +159,12 @@ def prints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_BLOCK = "block_id bigint, doc_ids binary, sizes binary, print1 binary, print2 binary, keys binary, rows binary"
+_COLUMNS = {"doc_ids": np.int64, "sizes": np.int64, "print1": np.uint64, "print2": np.uint64, "keys": np.uint64, "groups": np.int32, "group_rows": np.int32, "group_needs": np.int32}
 
 
 def _blocks(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Steps of documents: sizes and prints of their sets, their keys and groups. Written."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
         number = TaskContext.get().partitionId() << 32
@@ -162,56 +173,67 @@ def _blocks(docs: DataFrame, percent: int, width: int) -> DataFrame:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in T.steps(offsets, STEP):
                 h, o = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                p1, p2 = prints(h, o)
-                key, row = keys(h, o, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], np.diff(o), p1, p2, key, row.astype(np.int32)))], ["block_id", "doc_ids", "sizes", "print1", "print2", "keys", "rows"])
+                arrays = (ids[i:j], np.diff(o), *prints(h, o), *keys(h, o, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(arrays, _COLUMNS.values(), strict=True))], ["block_id", *_COLUMNS])
                 number += 1
 
-    return stage(docs.select(F.col("doc_id"), F.col("text")).mapInArrow(work, _BLOCK), "none")
+    schema = "block_id bigint, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+    return stage(docs.select("doc_id", "text").mapInArrow(work, schema), "none")
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[n], dtype=t) for n, t in (("doc_ids", np.int64), ("sizes", np.int64), ("print1", np.uint64), ("print2", np.uint64), ("keys", np.uint64), ("rows", np.int32)))
+    return tuple(np.frombuffer(row[c], dtype=t) for c, t in _COLUMNS.items())
 
 
 def _print_keys(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     return T.splitmix64(p1 + T.splitmix64(p2))
 
 
+def _enough(group: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which of the keys left belong to groups that still have as many as they need."""
+    return (np.bincount(group, minlength=len(need)) >= need)[group]
+
+
 def _postings(blocks: DataFrame, bits: int) -> DataFrame:
     """(key, doc_id) of the shared keys of one document of each class of equal sets, after two exchanges: the first finds
-    equal sets and shared keys, the second leaves out keys that only equal sets share."""
-
-    def representatives(row: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, sizes, p1, p2, key, owner = _arrays(row)
-        prints_ = _print_keys(p1, p2)
-        distinct, _ = X.condensed(np.concatenate([key, prints_]), None)
-        shared, first = X.flags(distinct, row[name], bits)
-        at = np.searchsorted(distinct, prints_)
+    equal sets and shared keys, the second leaves out keys that only equal sets or dropped documents share. A group
+    with fewer shared keys than it needs has no partner and drops out."""
+
+    def representatives(row: dict) -> tuple[np.ndarray, ...]:
+        ids, sizes, p1, p2, key, group, group_row, need = _arrays(row)
+        own = _print_keys(p1, p2)
+        distinct, _ = X.condensed(np.concatenate([key, own]), None)
+        shared, first = X.flags(distinct, row["r1"], bits)
+        at = np.searchsorted(distinct, own)
         head = np.zeros(len(ids), dtype=bool)
         head[np.unique(at, return_index=True)[1]] = True
         stands = head & (~shared[at] | first[at]) & (sizes > 0)
-        use = shared[np.searchsorted(distinct, key)] & stands[owner]
-        return ids, key[use], owner[use]
+        use = shared[np.searchsorted(distinct, key)] & stands[group_row[group]]
+        key, group = key[use], group[use]
+        use = _enough(group, need)
+        return ids[group_row], need, key[use], group[use]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.each_block(batches):
-            _, _, p1, p2, key, _ = _arrays(row)
+            _, _, p1, p2, key, *_ = _arrays(row)
             yield X.request(row["block_id"], np.concatenate([key, _print_keys(p1, p2)]), None, bits)
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.each_block(batches):
-            yield X.request(row["block_id"], representatives(row, "r1")[1], None, bits)
+            yield X.request(row["block_id"], representatives(row)[2], None, bits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.each_block(batches):
-            ids, key, owner = representatives(row, "r1")
+            ids, need, key, group = representatives(row)
             distinct, _ = X.condensed(key, None)
             shared, _ = X.flags(distinct, row["r2"], bits)
             use = shared[np.searchsorted(distinct, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(ids[owner[use]])], ["key", "doc_id"])
+            key, group = key[use], group[use]
+            use = _enough(group, need)
+            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(ids[group[use]])], ["key", "doc_id"])
 
     one = X.attach(blocks, X.answers(blocks.mapInArrow(ask, X.REQUEST)), "r1")
+    release_shuffles(blocks.sparkSession)
     two = X.attach(one, X.answers(one.mapInArrow(ask_again, X.REQUEST)), "r2")
     return stage(two.mapInArrow(rows, "key bigint, doc_id bigint"))
 
@@ -237,6 +259,20 @@ class Lists:
         self.shingle = np.unique(self.values)
         self.begin = np.searchsorted(self.values, self.shingle)
         self.end = np.append(self.begin[1:], len(self.values))
+        #: List and set of each entry in one ascending number.
+        self.entry = np.repeat(np.arange(len(self.shingle)), self.end - self.begin) * len(sets) + self.owner
+
+    def _merged(self, lists: np.ndarray) -> np.ndarray:
+        """How many of the lists each set stands in."""
+        _, place = T.ranges(self.begin[lists], self.end[lists])
+        return np.bincount(self.owner[place], minlength=len(self.size))
+
+    def _probed(self, lists: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The same for the sets `some`, by binary search of each list."""
+        many = len(self.size)
+        key = (lists[:, None] * many + some[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
+        return (self.entry[at] == key).reshape(len(lists), len(some)).sum(axis=0)
 
     def search(self, query: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
         """Positions among `wanted` (a mask) that link with the query's set."""
@@ -253,19 +289,14 @@ class Lists:
         aside = min(int(need / (MU * math.log2(max(2, int(length[-1]))) + 1)), need - 1)
         short, long = at[: len(at) - aside], at[len(at) - aside :]
         # the merge: ids of the short lists and how often each stands there
-        _, place = T.ranges(self.begin[short], self.end[short])
-        count = np.bincount(self.owner[place], minlength=len(self.size))
+        count = self._merged(short)
         some = np.flatnonzero(wanted & (count >= need - aside) & (self.size >= least) & (self.size * percent <= 100 * a))
         if not len(some):
             return some
-        count = count[some]
-        for k, shingle in enumerate(long):
-            mine = self.owner[self.begin[shingle] : self.end[shingle]]
-            p = np.minimum(np.searchsorted(mine, some), len(mine) - 1)
-            count += mine[p] == some
-            if not k % 32:
-                alive = count + (len(long) - 1 - k) >= need
-                some, count = some[alive], count[alive]
+        if len(some) * len(long) * PROBE < (self.end[long] - self.begin[long]).sum():
+            count = count[some] + self._probed(long, some)
+        else:  # so many candidates that the long lists are merged faster than probed
+            count = (count + self._merged(long))[some]
         union = a + self.size[some] - count
         return some[100 * count >= percent * union]
 
@@ -370,10 +401,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in X.each_block(batches):
-            ids, sizes, p1, p2, _, _ = _arrays(row)
+            ids, sizes, p1, p2, *_ = _arrays(row)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64))], ["doc_id", "n_shingles", "p1", "p2"])
 
-    rows = blocks.select("block_id", "doc_ids", "sizes", "print1", "print2", F.lit(b"").alias("keys"), F.lit(b"").alias("rows")).mapInArrow(members, "doc_id bigint, n_shingles bigint, p1 bigint, p2 bigint")
+    some = [c for c in _COLUMNS if c in ("doc_ids", "sizes", "print1", "print2")]
+    rows = blocks.select(*(c if c in some else F.lit(b"").alias(c) for c in _COLUMNS)).mapInArrow(members, "doc_id bigint, n_shingles bigint, p1 bigint, p2 bigint")
     # a wordless document is a class of its own
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("p1"))
     rows = stage(rows.withColumn("p1", own))
