@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: neighbours above a node hang on the least of its neighbourhood
         large = both.join(_minimum(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        large = large.unionByName(now.filter("u = v")).distinct()
+        large = large.unionByName(now.filter("u = v"))
         # small star: neighbours below a node, and the node, hang on the least of them
         small = large.join(_minimum(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
         now = stage(small.distinct())
