@@ -32,7 +32,7 @@ SAMPLE_PER_LANGUAGE, SALTS = 512, 16
 #: Languages at most; a corpus has few, and a column that isn't a language should fail, not fill the driver.
 LANGUAGES = 1000
 UNKNOWN = "und"
-_CELLS, _GRAMS = 4 << 20, 4096
+_CELLS, _GRAMS, _STEP = 2 << 20, 4096, 1 << 20
 
 
 def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -105,7 +105,7 @@ def bundles(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.n
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
     _, offsets = T.text_bytes(batch.column(column))
-    for i, j in T.steps(offsets):
+    for i, j in T.steps(offsets, _STEP):
         yield i, j, batch.column(column).slice(i, j - i).to_pylist()
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 
+#: Text bytes of a step.
+STEP = 1 << 20
 #: Inside this module a blank is the byte BLANK, and SEPARATOR stands between chunks; neither occurs in UTF-8.
 BLANK, SEPARATOR = 0xFF, 0xFE
 _MARK = "▁".encode()
@@ -247,9 +249,9 @@ def _relax_heap(edges: Edges, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 class Encoder:
     """Whole texts to ids; a worker keeps the ids of up to KEPT chunks from step to step."""
 
-    KEPT = 1 << 20
+    KEPT = 1 << 19
     #: Bytes of new chunks that get one suffix array.
-    TEXT = 1 << 20
+    TEXT = 1 << 18
 
     def __init__(self, file: str):
         self.v = Vocabulary(file)
@@ -360,7 +362,7 @@ def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
         e = encoder_of(file)
         for b in batches:
             data, offsets = T.text_bytes(b.column(1))
-            for i, j in T.steps(offsets):
+            for i, j in T.steps(offsets, STEP):
                 ids, places = e.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw, ends = e.decode(ids, places)
                 lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()))
@@ -378,7 +380,7 @@ def digest(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
         e = encoder_of(file)
         for b in batches:
             data, offsets = T.text_bytes(b.column(1))
-            for i, j in T.steps(offsets):
+            for i, j in T.steps(offsets, STEP):
                 part, place = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, places = e.encode(part, place)
                 raw, ends = e.decode(ids, places)

@@ -39,12 +39,14 @@ from . import textkit as T
 from .staging import release_shuffles, stage
 
 LENGTH = 200
+#: Text bytes of a block; a worker holds some 50 bytes a byte.
+BLOCK_BYTES = 4 << 20
 #: A perfect difference set: each residue modulo 133 but 0 is the difference of exactly one ordered pair.
 PERIOD, COVER = 133, (0, 9, 10, 12, 26, 30, 67, 74, 82, 109, 114, 120)
 _BLOCK = "block_id bigint, doc_ids binary, offsets binary, data binary"
 
 
-def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = T.STEP_BYTES) -> DataFrame:
+def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """Documents in blocks of whole texts of about `limit` bytes: (block_id, doc_ids, offsets, data), written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ class Block:
         return np.cumsum(step[:-1]) > 0
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, limit: int = T.STEP_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, limit: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, starts and ends (of the maximal removed runs, in bytes), kept (the bytes
     that stay). `period` and `cover` may be any difference cover with length >= period."""
     if length < period or {(a - b) % period for a in cover for b in cover} != set(range(period)):

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step handles; bounds a worker's memory, never what is read.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:
