@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallygrid.plans import corpus, custom, panel, relational, scoring
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+TABLE = {**scoring.TABLE, **corpus.TABLE, **panel.TABLE, **custom.TABLE, **relational.TABLE}
+QUERIES = {name: query for name, (query, _) in TABLE.items()}
+ORACLES = {name: sql for name, (_, sql) in TABLE.items() if sql}
+flagship = scoring.summarize
