@@ -8,9 +8,9 @@ Documents are sets of distinct word shingles. Two link when 100 * |A & B| >= 85
    linked pair has at least m - d equal segments, and an equal segment is a key that both have. (Empty segments are keys
    only for a document that has `slack` of them or more; otherwise an equal one that isn't empty exists.) Which keys
    occur elsewhere is asked by packed exchange, and a document that shares fewer keys than a partner must have drops
-   out before any row of it is made.
-3. Each key's documents hang on the one among them that shares most keys in all, its hub (a star, never all pairs). A hub
-   and all that hangs on it are a unit; whatever shares a key stands in the unit of that key's hub.
+   out before any row of it is made. What is left goes through a second round with finer segments.
+3. Each key's documents hang on the one among them that shares most keys in all, its hub (a star, never all pairs), and
+   of a document's keys a prefix is enough (see _stars). A hub and all that hangs on it are a unit.
 4. Within a unit, T-occurrence search over inverted lists finds each document's partners: DivideSkip counts the
    short lists, probes the long ones by binary search (or merges them too, where that is less work), and keeps what
    reaches the required overlap. The merge counts ids in one vectorised pass instead of popping a heap, with the same
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -42,8 +42,9 @@ from .staging import discard, release_shuffles, stage
 
 #: Production parameters of the contract: words of a shingle, and the threshold in percent.
 SHINGLE, PERCENT = 4, 85
-#: Ratio of neighbouring size classes: more segments in a class against more documents in two.
-RATIO = 1.7
+#: (ratio of neighbouring size classes, spare segments for each difference) of the two rounds of keys: few keys for all
+#: documents, then finer ones for those that are left.
+COARSE, FINE = (1.7, 0.1), (1.3, 0.3)
 CHUNK = 1024
 #: Text bytes of a step (and of a block of keys): a step's arrays take some 60 bytes a byte.
 STEP = 2 << 20
@@ -93,8 +94,8 @@ def differences(a: int, b: int, percent: int) -> int:
 class Sizes:
     """Size classes: (least, most, segments, slack); every pair that may link with a difference lies in one of them."""
 
-    def __init__(self, percent: int, ratio: float = RATIO):
-        self.percent, self.ratio = percent, ratio
+    def __init__(self, percent: int, ratio: float = COARSE[0], spare: float = COARSE[1]):
+        self.percent, self.ratio, self.spare = percent, ratio, spare
         self.least, self.most, self.segments, self.slack = (np.zeros(0, dtype=np.int64) for _ in range(4))
 
     def grow(self, size: int) -> None:
@@ -102,7 +103,7 @@ class Sizes:
             lo = 1 if not len(self.least) else max(int(self.least[-1]) + 1, math.ceil(self.least[-1] * self.ratio))
             top = max(lo, math.ceil(lo * self.ratio)) * 100 // self.percent + 1
             d = differences(top, top, self.percent)
-            slack = 1 + math.ceil(0.1 * d)
+            slack = 1 + math.ceil(self.spare * d)
             for name, x in (("least", lo), ("most", top), ("segments", d + slack), ("slack", slack)):
                 setattr(self, name, np.append(getattr(self, name), x))
 
@@ -163,11 +164,11 @@ def prints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _COLUMNS = {"doc_ids": np.int64, "sizes": np.int64, "print1": np.uint64, "print2": np.uint64, "keys": np.uint64, "groups": np.int32, "group_rows": np.int32, "group_needs": np.int32}
 
 
-def _blocks(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _blocks(docs: DataFrame, percent: int, width: int, grain: tuple[float, float]) -> DataFrame:
     """Steps of documents: sizes and prints of their sets, their keys and groups. Written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
+        sizes = Sizes(percent, *grain)
         number = TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = T.text_bytes(b.column(1))
@@ -196,7 +197,7 @@ def _enough(group: np.ndarray, need: np.ndarray) -> np.ndarray:
 
 
 def _postings(blocks: DataFrame, bits: int) -> DataFrame:
-    """(key, doc_id) of the shared keys of one document of each class of equal sets, after two exchanges: the first finds
+    """(key, doc_id, group, need) of the shared keys of one document of each class of equal sets, after two exchanges: the first finds
     equal sets and shared keys, the second leaves out keys that only equal sets or dropped documents share. A group
     with fewer shared keys than it needs has no partner and drops out."""
 
@@ -231,22 +232,30 @@ def _postings(blocks: DataFrame, bits: int) -> DataFrame:
             use = shared[np.searchsorted(distinct, key)]
             key, group = key[use], group[use]
             use = _enough(group, need)
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(ids[group[use]])], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(ids[group[use]]), pa.array(group[use]), pa.array(need[group[use]])], ["key", "doc_id", "grp", "need"])
 
     one = X.attach(blocks, X.answers(blocks.mapInArrow(ask, X.REQUEST)), "r1")
     release_shuffles(blocks.sparkSession)
     two = X.attach(one, X.answers(one.mapInArrow(ask_again, X.REQUEST)), "r2")
-    return stage(two.mapInArrow(rows, "key bigint, doc_id bigint"))
+    return stage(two.mapInArrow(rows, "key bigint, doc_id bigint, grp int, need int"))
 
 
 def _stars(postings: DataFrame) -> DataFrame:
-    """(doc_id, hub, weight): each key's documents hang on the one that shares most keys in all. Counts are partial sums
-    before any shuffle; a key of very many documents is a skewed join that Spark splits."""
+    """(doc_id, hub, weight): documents hang on the hubs of their keys; a key's hub is the document among its own that shares most keys in all.
+
+    A prefix of its keys is enough for each document: partners share `need` keys, so with `need` - 1 keys fewer, in one
+    order for all, they still share one. The order puts the keys of the weightiest hubs first, which leaves few hubs a
+    document. Counts are partial sums before any shuffle; a key of very many documents is a skewed join that Spark splits."""
     count = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = postings.join(count, "key").groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("weight"))
     weighed = stage(postings.join(weight, "doc_id"))
-    hub = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"))
-    return stage(weighed.join(hub, "key").select("doc_id", "hub", "weight").distinct())
+    hub = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"), F.col("h.weight").alias("hub_weight"))
+    own = Window.partitionBy("doc_id", "grp")  # a document's own keys, fewer than its shingles
+    ranked = weighed.join(hub, "key").withColumn("rank", F.row_number().over(own.orderBy(F.desc("hub_weight"), "hub", "key"))).withColumn("keys", F.count(F.lit(1)).over(own))
+    first = ranked.filter(F.col("rank") <= F.col("keys") - F.col("need") + 1)
+    rows = stage(first.select("doc_id", "hub", "weight", "hub_weight").distinct())
+    hubs = rows.select(F.col("hub").alias("doc_id"), "hub", F.col("hub_weight").alias("weight"))
+    return stage(rows.select("doc_id", "hub", "weight").unionByName(hubs).distinct())
 
 
 class Lists:
@@ -411,7 +420,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     """One row a document: doc_id, n_shingles, class_id (of equal sets: the smallest id), component_id."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    blocks = _blocks(docs, percent, width)
+    blocks = _blocks(docs, percent, width, COARSE)
     total = blocks.select(F.sum(F.octet_length("keys") + F.octet_length("print1"))).first()[0] or 0
     postings = _postings(blocks, X.bucket_bits(total // 8))
     release_shuffles(spark)
@@ -429,6 +438,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     classes = rows.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("class_id"))
 
     discard(blocks)  # all that is needed of it is written by now
+    # what is left, a small part of near copies, gets finer keys
+    left = stage(postings.select("doc_id").distinct())
+    small = left.count() * 24 <= X.BROADCAST_BYTES
+    finer = _blocks(docs.join(F.broadcast(left) if small else left, "doc_id", "left_semi"), percent, width, FINE)
+    total = finer.select(F.sum(F.octet_length("keys"))).first()[0] or 0
+    postings = _postings(finer, X.bucket_bits(total // 8))
+    discard(finer)
+    release_shuffles(spark)
     links = _search(docs, _stars(postings), percent, width)
     release_shuffles(spark)
 
