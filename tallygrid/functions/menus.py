@@ -18,6 +18,11 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a lambda an outer expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def top(q: Column) -> Column:
     """Position of the first maximum; null for an empty array."""
     return (F.array_position(q, F.array_max(q)) - 1).cast("int")
@@ -28,31 +33,26 @@ def at(xs: Column, position: Column) -> Column:
 
 
 def softmax(z: Column, temperature: float = 1.0) -> Column:
-    peak = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - peak) / F.lit(float(temperature))))
-    return F.transform(e, lambda x: x / total(e))
+    raised = let(F.array_max(z), lambda peak: F.transform(z, lambda x: F.exp((x - peak) / F.lit(float(temperature)))))
+    return let(raised, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def log_sum_exp(z: Column) -> Column:
-    peak = F.array_max(z)
-    return peak + F.ln(total(F.transform(z, lambda x: F.exp(x - peak))))
+    return let(z, lambda v: let(F.array_max(v), lambda peak: peak + F.ln(total(F.transform(v, lambda x: F.exp(x - peak))))))
 
 
 def log_softmax(z: Column) -> Column:
-    bottom = log_sum_exp(z)
-    return F.transform(z, lambda x: x - bottom)
+    return let(log_sum_exp(z), lambda bottom: F.transform(z, lambda x: x - bottom))
 
 
 def renormalize(p: Column) -> Column:
     """p / sum(p); null where the sum is zero."""
-    s = total(p)
-    return F.when(s > 0, F.transform(p, lambda x: x / s))
+    return let(p, lambda v: let(total(v), lambda s: F.when(s > 0, F.transform(v, lambda x: x / s))))
 
 
 def rank_of(q: Column, position: Column) -> Column:
     """1 + the number of positions before this one in stable descending order."""
-    mine = at(q, position)
-    return F.size(F.filter(q, lambda x, i: (x > mine) | ((x == mine) & (i < position)))) + 1
+    return let(at(q, position), lambda mine: F.size(F.filter(q, lambda x, i: (x > mine) | ((x == mine) & (i < position)))) + 1)
 
 
 def squared_error(q: Column, gold: Column) -> Column:

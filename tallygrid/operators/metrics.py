@@ -274,23 +274,21 @@ def prior_calibrated(scored: DataFrame) -> DataFrame:
 
 
 def fit_temperature(scores: DataFrame, lo: float = 0.05, hi: float = 20.0, points: int = 200, rounds: int = 60) -> float:
-    """The temperature with the least NLL of (z, gold): a logarithmic grid in one scan, then golden sections around its best point, a scan each four."""
+    """The temperature with the least NLL of (z, gold): a logarithmic grid in one scan, then ever finer grids around its best point, a scan each."""
     import math
 
     def losses(ts: list[float]) -> list[float]:
-        def loss(t: float) -> Column:
-            return F.avg(M.log_sum_exp(F.transform("z", lambda x: x / t)) - F.get("z", F.col("gold")) / t)
-
-        nll = [loss(t) for t in ts]
-        return list(scores.agg(*[x.alias(f"l{k}") for k, x in enumerate(nll)]).first())
+        # a narrow row for each temperature, summed before the shuffle to a group each
+        each = F.transform(F.array(*map(F.lit, ts)), lambda t: M.log_sum_exp(F.transform("z", lambda x: x / t)) - F.get("z", F.col("gold")) / t)
+        found = scores.select(F.posexplode(each).alias("k", "l")).groupBy("k").agg(F.avg("l").alias("l")).collect()
+        return [r.l for r in sorted(found)]
 
     grid = [math.exp(math.log(lo) + k * (math.log(hi) - math.log(lo)) / (points - 1)) for k in range(points)]
     found: list[float] = []
-    for k in range(0, points, 50):  # plans of 50 aggregates each
-        found += losses(grid[k : k + 50])
+    found += losses(grid)
     best = min(range(points), key=found.__getitem__)
     a, b = math.log(grid[max(best - 1, 0)]), math.log(grid[min(best + 1, points - 1)])
-    for _ in range(max(1, rounds // 12)):  # each scan narrows eightfold: nine inner points stand for three golden steps and more
+    for _ in range(max(1, rounds // 12)):  # each scan narrows eightfold, more than four golden sections do
         xs = [a + (b - a) * k / 16 for k in range(17)]
         ls = losses([math.exp(x) for x in xs])
         k = min(range(17), key=ls.__getitem__)

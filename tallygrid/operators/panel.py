@@ -32,8 +32,7 @@ def score_questions(rows: DataFrame) -> DataFrame:
     """type, k, names, probs, gold_pos (by position; a yes/no question's positions are no, yes) -> top1, metric, chance, conf, nll, brier, p_yes.
 
     Probabilities are normalised by their sum (1 if it is 0). A choice counts 1 or 0; a yes/no question only outside the band; a score loses its distance."""
-    s = M.total(F.col("probs"))
-    p = F.transform("probs", lambda x: x / F.when(s > 0, s).otherwise(1.0))
+    p = M.let(M.total(F.col("probs")), lambda s: F.transform("probs", lambda x: x / F.when(s > 0, s).otherwise(1.0)))
     rows = rows.withColumn("_p", p)
     gold, yes = F.col("gold_pos"), F.get("probs", F.lit(1))
     noul, score = F.col("type") == "noul", F.col("type") == "score"
