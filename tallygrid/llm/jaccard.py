@@ -10,7 +10,8 @@ Documents are sets of distinct word shingles. Two link when 100 * |A & B| >= 85
    occur elsewhere is asked by packed exchange, and a document that shares fewer keys than a partner must have drops
    out before any row of it is made. What is left goes through a second round with finer segments.
 3. Each key's documents hang on the one among them that shares most keys in all, its hub (a star, never all pairs), and
-   of a document's keys a prefix is enough (see _stars). A hub and all that hangs on it are a unit.
+   of a document's keys a prefix is enough (see _stars). A hub and all that hangs on it are a unit; units of one
+   family become one while it is small.
 4. Within a unit, T-occurrence search over inverted lists finds each document's partners: DivideSkip counts the
    short lists, probes the long ones by binary search (or merges them too, where that is less work), and keeps what
    reaches the required overlap. The merge counts ids in one vectorised pass instead of popping a heap, with the same
@@ -48,6 +49,8 @@ COARSE, FINE = (1.7, 0.1), (1.3, 0.3)
 CHUNK = 1024
 #: Text bytes of a step (and of a block of keys): a step's arrays take some 60 bytes a byte.
 STEP = 2 << 20
+#: Hops from a hub to its family's weightiest.
+ANCHOR_HOPS = 2
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.0085
 #: A probe costs as much as so many steps of a merge.
@@ -254,8 +257,18 @@ def _stars(postings: DataFrame) -> DataFrame:
     ranked = weighed.join(hub, "key").withColumn("rank", F.row_number().over(own.orderBy(F.desc("hub_weight"), "hub", "key"))).withColumn("keys", F.count(F.lit(1)).over(own))
     first = ranked.filter(F.col("rank") <= F.col("keys") - F.col("need") + 1)
     rows = stage(first.select("doc_id", "hub", "weight", "hub_weight").distinct())
-    hubs = rows.select(F.col("hub").alias("doc_id"), "hub", F.col("hub_weight").alias("weight"))
-    return stage(rows.select("doc_id", "hub", "weight").unionByName(hubs).distinct())
+    # hubs of one family hang on its weightiest; their units become one as long as it stays within a chunk, so that a
+    # document's set is sent once and not once a hub. Any unit does, if all of a key's documents go to the same.
+    best = rows.groupBy("doc_id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("neg"))).alias("b")).select(F.col("doc_id").alias("_d"), (-F.col("b.neg")).alias("_b"), F.col("b.hub_weight").alias("_w"))
+    anchors = rows.select("hub", F.col("hub").alias("anchor"), F.col("hub_weight").alias("anchor_weight")).distinct()
+    for _ in range(ANCHOR_HOPS):
+        anchors = anchors.join(best, F.col("anchor") == F.col("_d"), "left").select("hub", F.coalesce("_b", "anchor").alias("anchor"), F.coalesce("_w", "anchor_weight").alias("anchor_weight"))
+    moved = rows.join(stage(anchors), "hub")
+    fits = moved.select("anchor", "doc_id").distinct().groupBy("anchor").agg((F.count(F.lit(1)) < CHUNK).alias("fits"))
+    moved = moved.join(fits, "anchor").select("doc_id", "weight", F.when(F.col("fits"), F.col("anchor")).otherwise(F.col("hub")).alias("hub"), F.when(F.col("fits"), F.col("anchor_weight")).otherwise(F.col("hub_weight")).alias("hub_weight"))
+    moved = stage(moved.distinct())
+    hubs = moved.select(F.col("hub").alias("doc_id"), "hub", F.col("hub_weight").alias("weight"))
+    return stage(moved.select("doc_id", "hub", "weight").unionByName(hubs).distinct())
 
 
 class Lists:
