@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): for each node of an edge the smallest node that it reaches. Self-edges and repeats are fine; an
     empty table gives an empty one."""
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = stage(pair)
+    now = stage(pair, light=True)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = large.unionByName(now.filter("u = v"))
         # small star: neighbours below a node, and the node, hang on the least of them
         small = large.join(_minimum(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = stage(small.distinct())
+        now = stage(small.distinct(), light=True)
         mark = now.select(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if mark == before or mark[0] == 0:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))

@@ -251,24 +251,24 @@ def _stars(postings: DataFrame) -> DataFrame:
     document. Counts are partial sums before any shuffle; a key of very many documents is a skewed join that Spark splits."""
     count = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = postings.join(count, "key").groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("weight"))
-    weighed = stage(postings.join(weight, "doc_id"))
+    weighed = stage(postings.join(weight, "doc_id"), light=True)
     hub = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"), F.col("h.weight").alias("hub_weight"))
     own = Window.partitionBy("doc_id", "grp")  # a document's own keys, fewer than its shingles
     ranked = weighed.join(hub, "key").withColumn("rank", F.row_number().over(own.orderBy(F.desc("hub_weight"), "hub", "key"))).withColumn("keys", F.count(F.lit(1)).over(own))
     first = ranked.filter(F.col("rank") <= F.col("keys") - F.col("need") + 1)
-    rows = stage(first.select("doc_id", "hub", "weight", "hub_weight").distinct())
+    rows = stage(first.select("doc_id", "hub", "weight", "hub_weight").distinct(), light=True)
     # hubs of one family hang on its weightiest; their units become one as long as it stays within a chunk, so that a
     # document's set is sent once and not once a hub. Any unit does, if all of a key's documents go to the same.
     best = rows.groupBy("doc_id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("neg"))).alias("b")).select(F.col("doc_id").alias("_d"), (-F.col("b.neg")).alias("_b"), F.col("b.hub_weight").alias("_w"))
     anchors = rows.select("hub", F.col("hub").alias("anchor"), F.col("hub_weight").alias("anchor_weight")).distinct()
     for _ in range(ANCHOR_HOPS):
         anchors = anchors.join(best, F.col("anchor") == F.col("_d"), "left").select("hub", F.coalesce("_b", "anchor").alias("anchor"), F.coalesce("_w", "anchor_weight").alias("anchor_weight"))
-    moved = rows.join(stage(anchors), "hub")
+    moved = rows.join(stage(anchors, light=True), "hub")
     fits = moved.select("anchor", "doc_id").distinct().groupBy("anchor").agg((F.count(F.lit(1)) < CHUNK).alias("fits"))
     moved = moved.join(fits, "anchor").select("doc_id", "weight", F.when(F.col("fits"), F.col("anchor")).otherwise(F.col("hub")).alias("hub"), F.when(F.col("fits"), F.col("anchor_weight")).otherwise(F.col("hub_weight")).alias("hub_weight"))
-    moved = stage(moved.distinct())
+    moved = stage(moved.distinct(), light=True)
     hubs = moved.select(F.col("hub").alias("doc_id"), "hub", F.col("hub_weight").alias("weight"))
-    return stage(moved.select("doc_id", "hub", "weight").unionByName(hubs).distinct())
+    return stage(moved.select("doc_id", "hub", "weight").unionByName(hubs).distinct(), light=True)
 
 
 class Lists:
@@ -395,7 +395,7 @@ def _search(docs: DataFrame, stars: DataFrame, percent: int, width: int) -> Data
                 out.append(_pairs(ids, [(middle, int(k)) for k in apart], False))
         return pa.Table.from_batches(out)
 
-    count = stage(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")))
+    count = stage(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), light=True)
     placed = stars.join(count, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     # the hub of a large unit stands in each of its chunks
     chunk = F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
@@ -403,18 +403,18 @@ def _search(docs: DataFrame, stars: DataFrame, percent: int, width: int) -> Data
     tasks = (count.agg(F.sum("n")).first()[0] or 0) // 256 + 1
     # a document is read once and then sent to all its parts
     parts = rows.groupBy("doc_id").agg(F.max("weight").alias("weight"), F.collect_list(F.struct(F.xxhash64("hub", "chunk").alias("part"), "hub", "chunks")).alias("parts"))
-    sets = _with_sets(docs, stage(parts), width).select("doc_id", "weight", "set", F.explode("parts").alias("p")).select("doc_id", "weight", "set", "p.part", "p.hub", "p.chunks")
+    sets = _with_sets(docs, stage(parts, light=True), width).select("doc_id", "weight", "set", F.explode("parts").alias("p")).select("doc_id", "weight", "set", "p.part", "p.hub", "p.chunks")
     found = stage(sets.withColumn("task", F.pmod("part", F.lit(tasks))).groupBy("task").applyInArrow(within, "a bigint, b bigint, link boolean"))
     links = found.filter("link").select("a", "b")
     if not count.filter(F.col("chunks") > 1).head(1):
         return links
 
     # large units: what isn't connected with the hub is searched against all chunks
-    apart = stage(found.filter(~F.col("link")).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("asks")).distinct())
+    apart = stage(found.filter(~F.col("link")).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("asks")).distinct(), light=True)
     pieces = apart.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("pieces"))
     # units in which nothing is apart drop out here
     large = placed.join(pieces, "hub").join(apart, ["hub", "doc_id"], "left").select("doc_id", F.struct("hub", "chunks", "own", "pieces", F.coalesce("asks", F.lit(False)).alias("asks")).alias("u"))
-    large = stage(large.groupBy("doc_id").agg(F.collect_list("u").alias("units")))
+    large = stage(large.groupBy("doc_id").agg(F.collect_list("u").alias("units")), light=True)
     large = _with_sets(docs, large, width).select("doc_id", "set", F.explode("units").alias("u")).select("doc_id", "set", "u.*")
     asked = large.filter("asks").select("hub", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "set", "asks", F.lit(True).alias("apart"))
     held = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("own").alias("chunk"), "doc_id", "set", F.lit(False).alias("asks"), F.col("asks").alias("apart"))
@@ -452,7 +452,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     discard(blocks)  # all that is needed of it is written by now
     # what is left, a small part of near copies, gets finer keys
-    left = stage(postings.select("doc_id").distinct())
+    left = stage(postings.select("doc_id").distinct(), light=True)
     small = left.count() * 24 <= X.BROADCAST_BYTES
     finer = _blocks(docs.join(F.broadcast(left) if small else left, "doc_id", "left_semi"), percent, width, FINE)
     total = finer.select(F.sum(F.octet_length("keys"))).first()[0] or 0
@@ -464,9 +464,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     # from representatives to classes, then components of classes
     names = rows.join(classes, ["n_shingles", "p1", "p2"]).select("doc_id", "n_shingles", "class_id")
-    names = stage(names.distinct())
+    names = stage(names.distinct(), light=True)
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = stage(names.join(ends, "doc_id", "left_semi").select("doc_id", "class_id"))
+    known = stage(names.join(ends, "doc_id", "left_semi").select("doc_id", "class_id"), light=True)
     edge = links.join(known.select(F.col("doc_id").alias("a"), F.col("class_id").alias("ca")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("class_id").alias("cb")), "b")
     label = components(edge, "ca", "cb").withColumnRenamed("node", "class_id")
     return names.join(label, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))

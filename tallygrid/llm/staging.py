@@ -24,8 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write `df` once and read it again."""
+def stage(df: DataFrame, compression: str = "zstd", light: bool = False) -> DataFrame:
+    """Write `df` once and read it again. `light`: narrow rows that cost little, written by an eighth of the shuffle's
+    partitions, as each file costs a task, a directory entry and (on a local store) processes."""
+    if light:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((df.sparkSession, path))
