@@ -125,7 +125,8 @@ class Sizes:
 
 def keys(h: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, ...]:
     """The segment keys of a step's sets and the group of each; each group's row and need. A group is a row in one size class; two
-    linked sets of a class have at least `need` of its keys in common, for either one's need."""
+    linked sets of a class have at least `need` of its keys in common, for either one's need: of the equal segments those are
+    no common key that are empty and that one of the two emits no empty key for, which has fewer than `slack` of them."""
     size = np.diff(offsets)
     row, kind = sizes.of(size)
     none = np.zeros(0, dtype=np.int64)
@@ -150,7 +151,7 @@ def keys(h: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray,
     key = T.splitmix64(low + (high << np.uint64(32)) + count.astype(np.uint64) * _KINDS[4] ^ tag)
     a = size[row]
     largest = np.minimum(a * 100 // sizes.percent, sizes.most[kind])
-    need = m - (100 - sizes.percent) * (a + largest) // (100 + sizes.percent) - np.where(all_of_it, 0, empty)
+    need = m - (100 - sizes.percent) * (a + largest) // (100 + sizes.percent) - np.where(all_of_it, sizes.slack[kind] - 1, empty)
     return key[use], which[use], row, need
 
 

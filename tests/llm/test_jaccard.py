@@ -82,3 +82,27 @@ def test_pairs_share_a_class():
                 ok = (sizes.least <= a) & (sizes.most >= b)
                 assert ok.any(), (a, b)
                 assert (sizes.segments[ok] >= d + sizes.slack[ok]).any()
+
+
+@pytest.mark.parametrize("grain", [J.COARSE, J.FINE])
+def test_linked_pairs_share_the_keys_they_need(grain):
+    rnd = np.random.default_rng(11)
+    sizes, mixed = J.Sizes(85, *grain), 0
+    for _ in range(5000):
+        n = int(rnd.integers(4, 120))
+        union = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        differ = rnd.integers(1, max(1, n * 15 // 100) + 1)
+        cut = rnd.integers(0, differ + 1)
+        sets = [np.unique(union[cut:]), np.unique(np.concatenate([union[:cut], union[differ:]]))]
+        if 100 * len(np.intersect1d(*sets)) < 85 * len(np.union1d(*sets)) or np.array_equal(*sets):
+            continue
+        key, group, row, need = J.keys(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), sizes)
+        _, kind = sizes.of(np.array([len(s) for s in sets]))
+        for c in np.unique(kind):
+            pair = [g for g in np.flatnonzero(kind == c)]
+            if len(pair) == 2:
+                common = len(np.intersect1d(key[group == pair[0]], key[group == pair[1]]))
+                assert need[pair].min() >= 1 and common >= need[pair].max(), (sets, c)
+                emits = [np.count_nonzero(group == g) == sizes.segments[c] for g in pair]
+                mixed += emits[0] != emits[1]
+    assert mixed
