@@ -51,7 +51,7 @@ def curriculum(spark, d):
 
 
 def token_groups(spark, d):
-    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("batch_no"), F.col("doc_id").alias("row_no"), F.least(F.col("n_chars"), F.lit(4000)).alias("length"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 40).alias("batch_no"), F.col("doc_id").alias("row_no"), F.col("n_chars").alias("length"))
     return S.pack_batches(rows, 20000)
 
 

@@ -39,3 +39,13 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(str([plain(r[names.index(c)]) for c in df.columns]) for r in q.fetchall())
     assert sorted(str([plain(x) for x in r]) for r in rows) == want
+
+
+def test_token_groups_keep_whole_lengths(spark, tmp_path):
+    lengths = [3000, 128657, 5000, 4001, 25000, 9000]
+    rows = [(i, "x", "en", "web", n) for i, n in enumerate(lengths)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.row_no: (r.length, r.group_no) for r in plans.QUERIES["token_groups"](spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(len(lengths))] == lengths
+    groups = [{i for i in got if got[i][1] == g} for g in sorted({g for _, g in got.values()})]
+    assert groups == [{1}, {4}, {5}, {0, 2, 3}]
