@@ -75,7 +75,7 @@ def balanced_codes(spark, d):
 
 
 def asset_resolve(spark, d):
-    body = F.to_json(F.struct(F.col("role").alias("who"), F.concat(F.lit("see img:1 and "), F.substring("text", 1, 20)).alias("text")))
+    body = F.to_json(F.struct(F.col("role").alias("who"), F.concat(F.lit("see img:1 and "), F.col("text")).alias("text")))
     r = A.resolve(body, F.lit('{"q":{"instructions":"Is it?"}}'), F.lit('{"img:1":"QUJD"}'))
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(r["state"]).alias("digest"), F.array_join(r["used"], ",").alias("used"), r["problem"].alias("problem"))
 

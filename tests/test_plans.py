@@ -49,3 +49,12 @@ def test_token_groups_keep_whole_lengths(spark, tmp_path):
     assert [got[i][0] for i in range(len(lengths))] == lengths
     groups = [{i for i in got if got[i][1] == g} for g in sorted({g for _, g in got.values()})]
     assert groups == [{1}, {4}, {5}, {0, 2, 3}]
+
+
+def test_asset_resolve_covers_the_whole_text(spark, tmp_path):
+    long = "x" * 40
+    rows = [(0, 0, "user", f"{long} img:1 end"), (1, 0, "user", long), (2, 0, "user", f"{long}y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.used, r.problem, r.digest) for r in plans.QUERIES["asset_resolve"](spark, str(tmp_path)).collect()}
+    assert [got[i][:2] for i in range(3)] == [("img:1,img:1", None), ("img:1", None), ("img:1", None)]
+    assert got[1][2] != got[2][2]
