@@ -187,10 +187,8 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYT
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: its id, n_words, hits (positions of hit words) and items (ids that occur, distinct)."""
     item_type = benchmark.schema[item_id].dataType.simpleString()
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words bigint, hits array<bigint>, items array<{item_type}>"
 
-    def one(block: list[tuple]) -> DataFrame:
+    def one(rows: DataFrame, block: list[tuple], k: int, last: bool) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = Queries(block, window)
             for b in batches:
@@ -199,22 +197,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
                     part = offsets[i : j + 1] - offsets[i]
                     s = Shard(data[offsets[i] : offsets[j]], part, q)
                     query, word = s.occurrences(q)
-                    yield _rows(b.column(0).slice(i, j - i), s, q, query, word, item_type)
-
-        return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
-
-    found = [one(b) for b in blocks(benchmark, item_id, text)]
-    if len(found) == 1:
-        return found[0]
-    # more blocks than one: a document's rows meet by id; each block reports any subset of its hit words
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
+                    new = _rows(b.column(0).slice(i, j - i), s, q, query, word, item_type)
+                    held = [(c, b.column(c).slice(i, j - i)) for c in kept]
+                    added = [(f"{c}{k}", new.column(c)) for c in ("n_words", "hits", "items")]
+                    yield pa.RecordBatch.from_arrays([x for _, x in held + added], [c for c, _ in held + added])
+
+        kept = [c for c in rows.columns if not last or c != "text"]
+        types = dict(rows.dtypes) | {f"n_words{k}": "bigint", f"hits{k}": "array<bigint>", f"items{k}": f"array<{item_type}>"}
+        return rows.mapInArrow(work, ", ".join(f"{c} {types[c]}" for c in [*kept, *list(types)[-3:]]))
+
+    # a row goes through all blocks, so that repeated rows and null ids stay rows of their own; each block adds any subset of its hit words
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    every = list(blocks(benchmark, item_id, text))
+    for k, block in enumerate(every):
+        rows = one(rows, block, k, k == len(every) - 1)
+    if len(every) == 1:
+        return rows.select("doc_id", F.col("n_words0").alias("n_words"), F.col("hits0").alias("hits"), F.col("items0").alias("items"))
+    merged = lambda c: F.array_distinct(F.flatten(F.array(*(F.col(f"{c}{k}") for k in range(len(every))))))
+    return rows.select("doc_id", F.col("n_words0").alias("n_words"), merged("hits").alias("hits"), merged("items").alias("items"))
 
 
 def _rows(ids: pa.Array, s: Shard, q: Queries, query: np.ndarray, word: np.ndarray, item_type: str) -> pa.RecordBatch:

@@ -64,6 +64,16 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, D.digest(D.scan(a, b)).collect())) == brute(docs, items)
 
 
+def test_blocks_judge_repeated_rows_and_null_ids_one_by_one(spark, monkeypatch):
+    docs, items = corpus(3)
+    docs += [(None, docs[0][1]), (None, docs[1][1]), (None, "")]
+    a, b = tables(spark, docs, items)
+    want = sorted((r[1:], str(r[0])) for r in brute([(-1 if d is None else d, t) for d, t in docs], items))
+    monkeypatch.setattr(D.blocks, "__defaults__", (120,))
+    got = sorted((tuple(r)[1:], str(-1 if r.doc_id is None else r.doc_id)) for r in D.digest(D.scan(a, b)).collect())
+    assert got == want
+
+
 def test_longest_matches(spark):
     docs = [(1, "zz a b c d e f g yy"), (2, "q a b c d e f g h i j k z"), (3, "b c d e")]
     a, b = tables(spark, docs, [(7, "a b c d e f g h i j k l")])
