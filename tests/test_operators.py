@@ -44,6 +44,13 @@ def test_roots_and_cycles(spark):
     assert all(got[k] == k // 50 * 50 for k in range(100)) and {got[k] for k in (201, 202, 203)} == {201}
 
 
+def test_roots_of_long_chains(spark):
+    rows = [(k, k - 1 if k > 1000 else None) for k in range(1000, 1300)] + [(k, k + 1) for k in range(200)] + [(200, 50)]
+    got = {r.key: r.root for r in S.roots(spark.createDataFrame(rows, "key long, parent long")).collect()}
+    assert {got[k] for k in range(1000, 1300)} == {1000}
+    assert all(got[k] == min(k, 50) for k in range(201))
+
+
 def test_running_before_equals_a_plain_sum(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice("ab"), k, rnd.randint(1, 5)) for k in range(400)]
