@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .staging import stage
+from .staging import small_batches, stage
 
 MAGIC = b"PACKIDS1"
 #: Ids of a block, and (about) of a file.
@@ -114,7 +114,7 @@ class PieceEncoder:
         self.is_end = np.zeros(self.size, dtype=bool)
         if self.by_piece:
             self.is_end[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self._forget()
+        self.kept = T.Kept(self.KEPT)
 
     @property
     def bits(self) -> int:
@@ -133,14 +133,15 @@ class PieceEncoder:
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids end to end, and the n+1 offsets."""
         single = [k for k, p in enumerate(pieces) if self._single(p)]
-        rest = [k for k, p in enumerate(pieces) if not self._single(p)] if len(single) < len(pieces) else []
-        found: list[np.ndarray] = []
         lengths = np.zeros(len(pieces), dtype=np.int64)
         joined = [" ".join([pieces[k] for k in single[i : i + self.GROUP]]) for i in range(0, len(single), self.GROUP)]
         flat = np.concatenate([np.zeros(0, dtype=np.int64), *(x for i in range(0, len(joined), self.CALL) for x in self.whole(joined[i : i + self.CALL]))])
         ends = np.flatnonzero(self.is_end[flat]) + 1
         if len(ends) != len(single) or len(flat) and ends[-1] != len(flat):
-            raise ValueError("pieces and words differ in number")
+            # a tokenizer that makes several words of such a piece: each is encoded on its own
+            single, flat, ends = [], flat[:0], ends[:0]
+        alone = set(single)
+        rest = [k for k in range(len(pieces)) if k not in alone] if len(single) < len(pieces) else []
         lengths[single] = np.diff(ends, prepend=0)
         apart = self.whole([pieces[k] for k in rest])
         lengths[rest] = [len(x) for x in apart]
@@ -170,34 +171,11 @@ class PieceEncoder:
         stop = np.flatnonzero(cut)
         end = stop[np.searchsorted(stop, start, side="right")] if len(start) else start
         lowered = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
-        key = T.Rolling(T.BYTE_VALUES[lowered]).spans(start, end)
-        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
-        place = self._known(distinct, first, lowered.tobytes(), start, end)
-        lo, hi = self.lo[place][number], self.hi[place][number]
+        raw = lowered.tobytes()
+        lo, hi = self.kept.look_up(lowered, start, end, lambda a, z: self.pieces([raw[i:j].decode() for i, j in zip(a.tolist(), z.tolist(), strict=True)]))
         _, at = T.ranges(lo, hi)
         before = np.concatenate([[0], np.cumsum(hi - lo)])
-        return self.ids[at], before[np.searchsorted(start, offsets)]
-
-    def _known(self, distinct: np.ndarray, first: np.ndarray, low: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of pieces among the kept ones; what is missing is encoded and kept, KEPT pieces at most."""
-        place = np.searchsorted(self.keys, distinct)
-        have = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
-        if len(self.keys) + int((~have).sum()) > self.KEPT:
-            self._forget()
-            place, have = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
-        if have.all():
-            return place
-        new = first[~have]
-        ids, places = self.pieces([low[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-        at = place[~have]
-        self.keys = np.insert(self.keys, at, distinct[~have])
-        self.lo, self.hi = np.insert(self.lo, at, places[:-1] + len(self.ids)), np.insert(self.hi, at, places[1:] + len(self.ids))
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        return np.searchsorted(self.keys, distinct)
-
-    def _forget(self) -> None:
-        self.keys, self.lo, self.hi = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.int32)
+        return self.kept.ids[at], before[np.searchsorted(start, offsets)]
 
 
 @functools.cache
@@ -237,9 +215,9 @@ def write_files(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str =
                 number, first = number + 1, last
 
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return stage(ordered.mapInArrow(work, "shard int, file int, ids bigint, content binary"), "none")
+    return stage(ordered.mapInArrow(T.tidy(work), "shard int, file int, ids bigint, content binary"), "none")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -259,7 +237,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int32()), pa.array([f] * n, pa.int32()), pa.array(p.doc_ids), pa.array(p.starts[:-1]), pa.array(p.sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "file", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    rows = files.select("shard", "file", "content").mapInArrow(work, "shard int, file int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select("shard", "file", "content").mapInArrow(T.tidy(work), "shard int, file int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(starts, ["shard", "file"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import staging
 from .staging import stage
 
-#: Keys that a bucket is made for: 8 MB, some 40 MB in the task that sorts it.
-BUCKET_KEYS = 1 << 20
-#: Answers up to this size go to all executors; larger ones are joined by a shuffle of the blocks.
-BROADCAST_BYTES = 48 << 20
+#: Keys that a bucket is made for: 4 MB, some 20 MB in the task that sorts it.
+BUCKET_KEYS = 1 << 19
 REQUEST = "bucket int, block_id bigint, keys binary, many binary"
 _REPLY = "block_id bigint, bucket int, shared binary, first binary"
 
@@ -95,7 +94,7 @@ def attach(blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     """blocks with a column of replies (null where nothing is shared)."""
     size = replies.select(F.sum(F.aggregate("replies", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x["shared"]) + F.coalesce(F.octet_length(x["first"]), F.lit(0)) + 32))).first()[0] or 0
     side = replies.withColumnRenamed("replies", name)
-    return blocks.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "block_id", "left")
+    return blocks.join(F.broadcast(side) if size <= staging.BROADCAST_BYTES else side, "block_id", "left")
 
 
 def flags(distinct: np.ndarray, replies: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .staging import small, small_batches, stage
 
 DIMENSIONS = 1024
 #: The bound of the fit: so many documents of each language at most, from SALTS equal parts by hash of the id.
@@ -112,32 +113,34 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[
 def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Ids and languages of the bounded sample. Ranks are taken within salted parts of a language, so that no task
     holds a whole language; the limit is pushed below the shuffle."""
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS))
+    salts = max(1, min(SALTS, per_language))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(salts))
     order = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = labelled.select("doc_id", "lang", salt.alias("salt")).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= per_language // SALTS).select("doc_id", "lang")
+    return ranked.filter(F.col("rank") <= per_language // salts).select("doc_id", "lang")
 
 
 def fit(docs: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages by name and their unit prototypes, from the sample of the rows where `learn_from` holds."""
     rows = docs.filter(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    chosen = sample(rows, per_language).select("doc_id").distinct()
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    chosen = small(stage(sample(rows, per_language).select("doc_id").distinct(), light=True), 16)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             for i, j, texts in _parts(b, 0):
                 v, letters = bundles(texts)
                 langs = np.array(b.column(1).slice(i, j - i).to_pylist(), dtype=object)
-                names = sorted({x for x, n in zip(langs, letters, strict=True) if n})
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([v[langs == x].sum(axis=0, dtype=np.float64).tobytes() for x in names], pa.binary())], ["lang", "total"])
+                for x in {x for x, n in zip(langs, letters, strict=True) if n}:
+                    sums[x] = sums.get(x, 0) + v[langs == x].sum(axis=0, dtype=np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "total"])
 
-    # at most LANGUAGES * per_language ids: a proven bound for the broadcast
-    parts = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(partial, "lang string, total binary")
+    parts = small_batches(rows).join(chosen, "doc_id", "left_semi").select("text", "lang").mapInArrow(T.tidy(partial), "lang string, total binary")
     totals: dict[str, np.ndarray] = {}
-    for r in parts.toLocalIterator():
+    for r in parts.toLocalIterator():  # a row a task and language
         totals[r.lang] = totals.get(r.lang, 0) + np.frombuffer(r.total, dtype=np.float64)
-        if len(totals) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted(totals)
     p = np.array([totals[x] / max(np.linalg.norm(totals[x]), 1e-12) for x in names], dtype=np.float32).reshape(len(names), DIMENSIONS)
     return names, p
@@ -169,7 +172,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
@@ -182,7 +185,7 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
                 langs, scores = predict(texts)
                 yield b.slice(i, j - i).filter(pa.array([x != UNKNOWN for x in langs]) if least <= 0 else pa.array([x != UNKNOWN and s > least for x, s in zip(langs, scores, strict=True)]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).mapInArrow(T.tidy(work), docs.schema)
 
 
 def fold(doc_id: str = "doc_id"):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .staging import small_batches
 
 #: Text bytes of a step.
 STEP = 1 << 20
@@ -255,11 +256,7 @@ class Encoder:
 
     def __init__(self, file: str):
         self.v = Vocabulary(file)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.lo, self.hi = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.int32)
+        self.kept = T.Kept(self.KEPT)
 
     def chunks(self, text: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks text[begin:finish] end to end, and their n+1 offsets."""
@@ -282,8 +279,7 @@ class Encoder:
     def _ids(self, laid: np.ndarray, start: np.ndarray, end: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
         """A token's id from its bytes: tokens are few kinds, so each distinct one is looked up once."""
         known = edges.rank(start, end) < _NONE
-        key = T.Rolling(T.BYTE_VALUES[laid]).spans(start, end)
-        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
+        _, first, number = T.distinct_spans(laid, start, end)
         raw = laid.tobytes()
         of = np.array([self.v.id_of.get(raw[start[k] : end[k]], -1) for k in first], dtype=np.int64)
         count = np.where(known, 1, end - start)
@@ -308,34 +304,22 @@ class Encoder:
         cut[row[:-1][np.diff(row) > 0]] = True
         begin = np.flatnonzero(cut)
         finish = np.append(begin[1:], len(text))
-        key = T.Rolling(T.BYTE_VALUES[text]).spans(begin, finish)
-        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
-        have = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
-        if len(self.keys) + int((~have).sum()) > self.KEPT:
-            self._forget()
-            place, have = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
-        if not have.all():
-            new = first[~have]
-            at = place[~have]
-            ends = np.cumsum(finish[new] - begin[new] + 1)
-            lo, hi, ids, done = [], [], [self.ids], len(self.ids)
-            i = 0
-            while i < len(new):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.TEXT)))
-                got, where = self.chunks(text, begin[new[i:j]], finish[new[i:j]])
-                lo.append(where[:-1] + done)
-                hi.append(where[1:] + done)
-                ids.append(got.astype(np.int32))
-                done, i = done + len(got), j
-            self.keys = np.insert(self.keys, at, distinct[~have])
-            self.lo, self.hi = np.insert(self.lo, at, np.concatenate(lo)), np.insert(self.hi, at, np.concatenate(hi))
-            self.ids = np.concatenate(ids)
-            place = np.searchsorted(self.keys, distinct)
-        lo, hi = self.lo[place][number], self.hi[place][number]
+        lo, hi = self.kept.look_up(text, begin, finish, lambda a, z: self._new(text, a, z))
         _, at = T.ranges(lo, hi)
         before = np.concatenate([[0], np.cumsum(hi - lo)])
-        return self.ids[at], before[np.searchsorted(begin, row)]
+        return self.kept.ids[at], before[np.searchsorted(begin, row)]
+
+    def _new(self, text: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new chunks, TEXT bytes of them with one suffix array."""
+        ends = np.cumsum(finish - begin + 1)
+        ids, offsets, i = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.TEXT)))
+            got, where = self.chunks(text, begin[i:j], finish[i:j])
+            ids.append(got)
+            offsets.append(where[1:] + offsets[-1][-1])
+            i = j
+        return np.concatenate(ids), np.concatenate(offsets)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows end to end, without the dummy prefix, and the n+1 offsets."""
@@ -370,7 +354,7 @@ def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, decoded], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,7 +374,7 @@ def digest(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(places), pa.int64()), pa.array(crc, pa.int64()), pa.array(trip, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean")
 
 
 def model_file() -> str:

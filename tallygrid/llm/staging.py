@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
@@ -24,11 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows that are handed to a Python worker at once. A batch of whole texts is held several times over (vectors, stream, worker).
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose texts will go to Python workers; the session's batches are cut down to BATCH_ROWS if they are larger."""
+    if not 0 < int(docs.sparkSession.conf.get(BATCH)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def stage(df: DataFrame, compression: str = "zstd", light: bool = False) -> DataFrame:
-    """Write `df` once and read it again. `light`: narrow rows that cost little, written by an eighth of the shuffle's
-    partitions, as each file costs a task, a directory entry and (on a local store) processes."""
+    """Write `df` once and read it again. `light`: narrow rows in few files, as each file costs a task and a directory entry;
+    they are dealt anew once they are computed, so that the work before keeps all its tasks."""
     if light:
-        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((df.sparkSession, path))
@@ -37,6 +49,15 @@ def stage(df: DataFrame, compression: str = "zstd", light: bool = False) -> Data
     return out
 
 
+#: Tables up to this size go to all executors; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df`, a written table of rows of at most `row_bytes`, to be sent to all executors if its measured size allows."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def discard(staged: DataFrame) -> None:
     """Delete a stage that no later result reads."""
     spark = staged.sparkSession

@@ -1,18 +1,22 @@
-"""Vectorised text primitives shared by the operators: Arrow buffers as numpy bytes, spans, rolling hashes.
+"""Vectorised text primitives shared by the operators: Arrow buffers as numpy bytes, spans, their hashes, kept results.
 
-All hashes are polynomial hashes modulo 2**64 with an odd base, so any substring's hash comes from two prefix sums:
-``(P[end] - P[start]) * base**-start``. Base and byte values come from splitmix64 of small integers, hence are the
-same in every worker and every run.
+`span_hash` sums a value drawn for each (place in the span, eight bytes), so no text has a structure that makes it collide;
+`distinct_spans` and `Kept` hold bytes against bytes wherever a hash stands for a text within a worker. `Rolling` is a
+polynomial hash modulo 2**64, which periodic texts can make collide: it only ever proposes, and bytes decide. All values
+come from splitmix64 of small integers, hence are the same in every worker and every run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Text bytes that one vectorised step handles; bounds a worker's memory, never what is read.
 STEP_BYTES = 2 << 20
 
@@ -55,6 +59,104 @@ class Rolling:
         return splitmix64((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
+#: Bytes of a span up to which all spans are read together, eight bytes at a time; longer ones one by one.
+_TOGETHER = 256
+_HEAD_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _at_place(word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return splitmix64(word ^ splitmix64(place.astype(np.uint64) + np.uint64(1 << 32)))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span data[start:end]: the sum over its eight-byte words of a value drawn for (place, word)."""
+    size, words = end - start, _eights(data)
+    out = size.astype(np.uint64)
+    at, k = np.flatnonzero((size > 0) & (size <= _TOGETHER)), 0
+    while len(at):
+        left = size[at] - 8 * k
+        out[at] += _at_place(words[start[at] + 8 * k] & _HEAD_BYTES[np.minimum(left, 8)], np.array([k]))
+        at, k = at[left > 8], k + 1
+    for i in np.flatnonzero(size > _TOGETHER):
+        word = words[start[i] : end[i] : 8].copy()
+        word[-1] &= _HEAD_BYTES[(size[i] - 1) % 8 + 1]
+        out[i] += _at_place(word, np.arange(len(word))).sum()
+    return splitmix64(out)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which spans of data equal the spans of other, byte for byte."""
+    size = end - start
+    same = size == stop - begin
+    one = _eights(data)
+    two = one if other is data else _eights(other)
+    at, k = np.flatnonzero(same & (size > 0) & (size <= _TOGETHER)), 0
+    while len(at):
+        left = size[at] - 8 * k
+        equal = (one[start[at] + 8 * k] ^ two[begin[at] + 8 * k]) & _HEAD_BYTES[np.minimum(left, 8)] == 0
+        same[at[~equal]] = False
+        at, k = at[equal & (left > 8)], k + 1
+    for i in np.flatnonzero(same & (size > _TOGETHER)):
+        same[i] = np.array_equal(data[start[i] : end[i]], other[begin[i] : stop[i]])
+    return same
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, number): a key for each distinct span in ascending order, the first span that has it, and the number
+    of every span's. Equal numbers mean equal bytes."""
+    key = span_hash(data, start, end)
+    while True:
+        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
+        at = first[number]
+        differ = np.flatnonzero(~same_bytes(data, start, end, data, start[at], end[at]))
+        if not len(differ):
+            return distinct, first, number
+        key[differ] = splitmix64(key[differ])  # they leave the first one's group together, and are compared again
+
+
+class Kept:
+    """Ids of distinct byte strings, kept by a worker from step to step; found by hash, held against the bytes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.lo, self.hi, self.begin, self.stop = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        self.ids, self.spelling = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8)
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, make: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each span stand in `ids`. `make` gives the ids of new spans end to end and their n+1 offsets.
+        Beyond `most` strings all are forgotten."""
+        key, first, number = distinct_spans(data, start, end)
+        place = np.searchsorted(self.keys, key)
+        have = self.keys[np.minimum(place, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+        k, f = place[have], first[have]
+        full = len(self.keys) + len(key) - int(have.sum()) > self.most
+        if full or not same_bytes(data, start[f], end[f], self.spelling, self.begin[k], self.stop[k]).all():
+            self.forget()
+            place, have = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        if not have.all():
+            new, at = first[~have], place[~have]
+            ids, offsets = make(start[new], end[new])
+            _, source = ranges(start[new], end[new])
+            spelled = np.concatenate([[0], np.cumsum(end[new] - start[new])]) + len(self.spelling)
+            self.keys = np.insert(self.keys, at, key[~have])
+            self.lo, self.hi = np.insert(self.lo, at, offsets[:-1] + len(self.ids)), np.insert(self.hi, at, offsets[1:] + len(self.ids))
+            self.begin, self.stop = np.insert(self.begin, at, spelled[:-1]), np.insert(self.stop, at, spelled[1:])
+            self.ids, self.spelling = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.spelling, data[source]])
+            place = np.searchsorted(self.keys, key)
+        return self.lo[place][number], self.hi[place][number]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes end to end, and the n+1 offsets of its rows in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -115,7 +217,7 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(offsets, self.start, side="right") - 1
         self.lowered = lowered
-        self.hash = Rolling(BYTE_VALUES[lowered]).spans(self.start, self.end)
+        self.hash = span_hash(lowered, self.start, self.end)
         #: Words before each row; the words of row r are [first[r], first[r + 1]).
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
 
@@ -123,6 +225,22 @@ class Words:
         return self.lowered[self.start[i] : self.end[i]].tobytes()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would else hold the most that any earlier stage took."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` on a task's batches, with its memory given back at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expand [lo, hi) ranges: the range's number and the value, one row each."""
     size = hi - lo

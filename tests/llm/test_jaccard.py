@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.llm import jaccard as J
+from tallygrid.llm import staging
 
 
 def brute(texts, percent, width):
@@ -54,8 +56,114 @@ def test_equals_all_pairs(spark, monkeypatch, seed, percent, width, chunk):
     assert got == brute(texts, percent, width)
 
 
-def test_empty_table(spark):
-    assert J.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+def test_shuffled_where_nothing_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(J, "CHUNK", 6)
+    texts = corpus(4)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(rows).collect()} == brute(texts, 85, 4)
+
+
+@pytest.mark.parametrize("percent,width", [(85, 4), (80, 5)])
+def test_empty_table(spark, percent, width):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert J.join(empty, percent=percent, width=width).collect() == []
+    assert J.keep_one(empty, percent=percent, width=width).collect() == []
+
+
+def family(rnd, n):
+    """One unit of n documents, loosely similar: some link with the base, some with one another only, most with none."""
+    base = [f"w{i}" for i in range(120)]
+    texts = {0: " ".join(base)}
+    while len(texts) < n:
+        edited = list(base)
+        for at in rnd.sample(range(120), rnd.choice([0, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8])):
+            edited[at] = f"x{rnd.randrange(3000)}"
+        for _ in range(rnd.choice([1, 1, 1, 2])):  # a few partners of their own
+            texts[len(texts)] = " ".join(edited)
+            edited[rnd.randrange(120)] = f"y{len(texts)}"
+    return texts
+
+
+def brute_large(texts, percent, width):
+    """The same as `brute` by bit masks."""
+    bit, sets = {}, {}
+    for d, t in texts.items():
+        w = t.split()
+        sets[d] = sum({1 << bit.setdefault(tuple(w[i : i + width]), len(bit)) for i in range(len(w) - width + 1)})
+    size = {d: s.bit_count() for d, s in sets.items()}
+    ids, label = list(sets), {d: d for d in sets}
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if label[a] != label[b] and 100 * (c := (sets[a] & sets[b]).bit_count()) >= percent * (size[a] + size[b] - c):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    return {d: (size[d], label[d]) for d in sets}
+
+
+def test_one_unit_of_thousands(spark):
+    texts = family(random.Random(3), 2600)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(rows, percent=85, width=2).collect()}
+    assert got == brute_large(texts, 85, 2)
+    assert 50 < len({c for _, c in got.values()}) < 2500
+
+
+def test_one_unit_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "UNIT_BYTES", 1 << 17)  # ten documents
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(1500)]
+    texts = {}
+    for d in range(60):
+        edited = list(base)
+        for at in rnd.sample(range(1500), rnd.choice([10, 30, 60, 90, 110])):
+            edited[at] = f"x{rnd.randrange(400)}"
+        texts[d] = " ".join(edited)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(rows, percent=85, width=2).collect()} == brute_large(texts, 85, 2)
+
+
+def thue_morse(bits, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(1 << bits))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one, two = thue_morse(11), thue_morse(11, "b", "a")
+    texts = {1: f"{one} p q r s", 2: f"{two} p q r s", 3: f"{one} p q r s", 4: one, 5: two}
+    got = {r.doc_id: r.component_id for r in J.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+ROWS = [
+    (1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"),  # repeated rows
+    (2, "k l m n o p", "x"), (2, "q r s t u v", "x"),  # one id, two texts
+    (None, "a b c d e f", "x"), (None, "w1 w2 w3 w4", "x"), (None, "W1 w2 w3 w4", "z"), (None, None, "x"),
+    (9, "w5 w6 w7 w8", "x"), (7, "w5  w6 w7 w8", "x"), (7, "w5  w6 w7 w8", "x"), (8, "", "x"), (8, "", "x"),
+]
+
+
+@pytest.mark.parametrize("limit", [48 << 20, 0])
+def test_repeated_rows_and_null_ids_stay_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
+    rows = spark.createDataFrame(ROWS, "doc_id long, text string, part string").repartition(3).withColumns({c: F.lit(1) for c in ("set", "keys", "id", "text_key", "cls", "hub", "component")})
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(rows).collect()), key=str)
+    want = [(1, 3, 1)] * 3 + [(2, 3, 2)] * 2 + [(None, 3, 1), (None, 1, None), (None, 1, None), (None, 0, None), (9, 1, 7), (7, 1, 7), (7, 1, 7), (8, 0, 8), (8, 0, 8)]
+    assert got == sorted(want, key=str)
+    kept = J.keep_one(rows)
+    assert kept.schema == rows.schema
+    got = sorted(((r.doc_id, r.text, r.part) for r in kept.collect()), key=str)
+    first = [r for r in got if r[0] is None and r[1] and r[1].lower() == "w1 w2 w3 w4"]
+    assert len(first) == 1
+    want = [(1, "a b c d e f", "x"), (2, "k l m n o p", "x"), (2, "q r s t u v", "x"), (None, None, "x"), (7, "w5  w6 w7 w8", "x"), (8, "", "x"), (8, "", "x"), *first]
+    assert got == sorted(want, key=str)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    texts = {1: long, 2: long.replace("w9 ", "z "), 3: long[: len(long) // 2], 4: "x" * 3_000_000, 5: "x" * 2_999_999}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    half = len(texts[3].split()) - 3
+    assert got == {1: (399_997, 1), 2: (399_997, 1), 3: (half, 3), 4: (1, 4), 5: (1, 5)}
 
 
 def test_divide_skip_finds_all_partners():
@@ -96,7 +204,8 @@ def test_linked_pairs_share_the_keys_they_need(grain):
         sets = [np.unique(union[cut:]), np.unique(np.concatenate([union[:cut], union[differ:]]))]
         if 100 * len(np.intersect1d(*sets)) < 85 * len(np.union1d(*sets)) or np.array_equal(*sets):
             continue
-        key, group, row, need = J.keys(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), sizes)
+        key, size, row, need = J.keys(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), sizes)
+        group = np.repeat(np.arange(len(size)), size)
         _, kind = sizes.of(np.array([len(s) for s in sets]))
         for c in np.unique(kind):
             pair = [g for g in np.flatnonzero(kind == c)]
