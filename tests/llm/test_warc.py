@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 
+import pytest
+
+from tallygrid.llm import staging
 from tallygrid.llm import warc as W
 
 
@@ -25,6 +28,35 @@ def test_round_trip(spark, monkeypatch):
     assert W.read_archives(archives).count() == 10
 
 
+def test_null_and_repeated_ids(spark, monkeypatch):
+    one, two, three = "a" * 2000, "b" * 2000, "c" * 2000
+    table = [(9, one), (9, two), (9, one), (5, one), (6, two), (None, two), (None, three), (None, three), (None, None), (4, "s"), (4, "s")]
+    want = sorted(((p, h, t, r) for (p, h), t, r in zip(table, ["response"] * 3 + ["revisit"] * 3 + ["response"] * 5, [None] * 3 + [9] * 3 + [None] * 5, strict=True)), key=str)
+    for limit in (48 << 20, 0):
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
+        pages = spark.createDataFrame([(p, "u", h, 1, "d") for p, h in table], "page_id long, url string, html string, payload_bytes int, payload_digest string").repartition(3)
+        archives = W.write_archives(pages)
+        by_digest = {hashlib.sha1((h or "").encode()).hexdigest(): h for _, h in table}
+        got = sorted(((r.page_id, by_digest[r.payload_digest], r.record_type, r.refers_to) for r in W.read_archives(archives).collect()), key=str)
+        assert got == want
+        ids = [h["WARC-Record-ID"] for r in archives.collect() for h, _ in W.parse(bytes(r.content))]
+        assert len(ids) == len(set(ids)) == len(table)
+
+
+def test_revisit_without_its_response_fails(spark):
+    member = W._member(W.record(1, "u", "0" * 40, None, 2))
+    lost = spark.createDataFrame([(bytearray(member),)], "content binary")
+    with pytest.raises(Exception, match="no response"):
+        W.read_archives(lost).collect()
+    with pytest.raises(ValueError, match="cut off"):
+        list(W.parse(member[:-4]))
+
+
+def test_many_small_records_in_a_segment():
+    raw = b"".join(W._member(W.record(k, "u", "d", b"x" * (k % 7))) for k in range(3000))
+    assert [len(b) for _, b in W.parse(raw)] == [k % 7 for k in range(3000)]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.read_archives(W.write_archives(pages)).count() == 0
