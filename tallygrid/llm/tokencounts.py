@@ -3,15 +3,18 @@
 A store is a folder of commits. Each commit is one batch's signed delta, summed by source, language and tokenizer version:
 an insert adds a document's counts, a delete takes them away, a revision takes the old counts and adds the new
 ones. Totals are the sum of the commits, so no document is read again to maintain them. A batch is written to a side
-folder and renamed to its batch id; a batch that is delivered again finds its name taken and changes nothing, and a
-job that dies before the rename leaves nothing that counts. `compact` folds commits into one.
+folder and renamed to its batch id, a step that fails where that name exists: a batch that is delivered again changes
+nothing, and a job that dies before the rename leaves nothing that counts. `compact` folds commits into one and then
+swaps a pointer; whenever it dies, either the old commits count or the new one does.
 
-Counting runs one tokenizer call a document in the worker that reads it. Only sums leave a worker (a partial aggregate
-by source and language), so a source that holds a third of all rows is a row a task.
+Counting cuts texts at single blanks between words, where no token of the tokenizers' pattern crosses; a worker
+encodes each distinct part once and keeps its counts. Only sums leave a worker (a partial aggregate by source and
+language), so a source that holds a third of all rows is a row a task.
 
 Defined cases: null and empty texts count zero tokens and one document; null source or language is a group of its own;
-repeated rows count as often as they stand; very long texts are counted whole; other columns are ignored; an empty batch
-commits an empty delta.
+repeated rows count as often as they stand; a revision replaces the counts of each row, whatever its id; a deletion takes
+all rows of an id, and none for a null id; very long texts are counted whole; other columns are ignored, whatever their
+names; an empty batch commits an empty delta.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ import base64
 import functools
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import shared_folder, stage
+from . import textkit as T
+from .staging import shared_folder, small, small_batches, stage
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
@@ -34,30 +41,76 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens
 VERSIONS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 
-@functools.cache
-def _counter(file: str):
-    import public_tokenizers
-    import tiktoken
+class Counter:
+    """Token counts of whole texts, for several tokenizer versions at once."""
+
+    KEPT = 1 << 19  # parts whose counts a worker keeps
+
+    def __init__(self, versions: tuple[str, ...]):
+        import public_tokenizers
+        import tiktoken
+
+        self.encodings = []
+        for file in versions:
+            with open(public_tokenizers.path(file), "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.encodings.append(tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+        self.kept = T.Kept(self.KEPT)
+
+    @staticmethod
+    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of parts: the rows' own, and single blanks between characters that surely are no white space."""
+        n = len(data)
+        at = np.flatnonzero(data == 0x20)
+        at = at[(at > 0) & (at + 1 < n)]
+        before, after, two, three = data[at - 1], data[at + 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        # white space outside ASCII starts with one of these bytes
+        wide = np.zeros(256, dtype=bool)
+        wide[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+        clear = (after > 0x20) & (after != 0x7F) & ~wide[after]
+        clear &= ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & ~wide[two] & ~wide[three])
+        cut = np.zeros(n + 1, dtype=bool)
+        cut[at[clear]] = True
+        cut[offsets] = True
+        return np.flatnonzero(cut[:n])
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row of counts for each text, a column for each version."""
+        raw, many = data.tobytes(), len(self.encodings)
+
+        def new(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts = [raw[a:z].decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+            counts = np.array([[len(x) for x in e.encode_ordinary_batch(parts, num_threads=1)] for e in self.encodings], dtype=np.int64)
+            return counts.T.ravel(), np.arange(len(parts) + 1) * many
+
+        start = self.cuts(data, offsets)
+        lo, _ = self.kept.look_up(data, start, np.append(start[1:], len(data)), new)
+        at = np.searchsorted(start, offsets)
+        sums = [np.concatenate([[0], np.cumsum(self.kept.ids[lo + v], dtype=np.int64)]) for v in range(many)]
+        return np.stack([x[at[1:]] - x[at[:-1]] for x in sums], axis=1)
+
 
-    with open(public_tokenizers.path(file), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text)) if text else 0
+@functools.cache
+def counter_of(versions: tuple[str, ...]) -> Counter:
+    return Counter(versions)
 
 
-def count(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """The ledger: a row for each document and version, with its counts."""
+def count(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", mark: Column | None = None) -> DataFrame:
+    """The ledger: a row for each document and version, with its counts, and whether `mark` holds for the document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for v in versions:
-                tokens = [_counter(v)(b.column(3)[k].as_py()) for k in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([v] * b.num_rows, pa.string()), pa.array(tokens, pa.int64()), b.column(4)], ["doc_id", *KEYS, "n_tokens", "n_bytes"])
+            data, offsets = T.text_bytes(b.column(3))
+            for i, j in T.steps(offsets):
+                tokens = counter_of(versions).count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, v in enumerate(versions):
+                    rows = [b.column(c).slice(i, j - i) for c in (0, 1, 2, 4)]
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array([v] * (j - i), pa.string()), pa.array(tokens[:, k]), pa.array(np.diff(offsets[i : j + 1]))], ["doc_id", "source", "lang", "marked", "tokenizer", "n_tokens", "n_bytes"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), size.alias("n_bytes"))
-    return rows.mapInArrow(work, f"doc_id {kind}, source string, lang string, tokenizer string, n_tokens bigint, n_bytes bigint")
+    marked = F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), marked.alias("marked"))
+    return rows.mapInArrow(T.tidy(work), f"doc_id {kind}, source string, lang string, marked boolean, tokenizer string, n_tokens bigint, n_bytes bigint")
 
 
 def signed(ledger: DataFrame, sign: int) -> DataFrame:
@@ -74,56 +127,101 @@ def _summed(delta: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share.
+
+    commits/BATCH holds a batch's delta; once folded, the empty folder stays and keeps the batch known. folded/NAME holds a
+    compaction's sums (sums) and the names of the commits in it (names). live/N names the compaction that counts;
+    the largest N is the pointer."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{folder}/commits"))
-
-    def commits(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/commits")))
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(folder).getFileSystem(conf)
+        root = self._fs.makeQualified(self._path(folder))
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf)
+        self._plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        for name in ("commits", "folded", "live", "side"):
+            self._fs.mkdirs(self._path(f"{folder}/{name}"))
+
+    def _names(self, what: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{what}")))
+
+    def _renamed(self, source: str, target: str) -> bool:
+        """A rename that never replaces and never moves into what is there."""
+        try:
+            self._context.rename(self._fs.makeQualified(self._path(source)), self._fs.makeQualified(self._path(target)), self._plain)
+        except Py4JJavaError as e:
+            if self._fs.exists(self._path(target)) and "FileAlreadyExists" in e.java_exception.getClass().getName():
+                self._fs.delete(self._path(source), True)
+                return False
+            raise
+        return True
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
-        """Add the batch's delta once; False if a batch of that id, or a compaction that holds it, is there."""
-        if batch in self._held():
+        """Add the batch's delta once; False if a batch of that id was there, folded or not."""
+        target = f"{self.folder}/commits/{quote(batch, safe='')}"
+        if self._fs.exists(self._path(target)):
             return False
-        side = f"{self.folder}/side-{uuid.uuid4().hex}"
-        _summed(delta).withColumn("batch", F.lit(batch)).write.parquet(side)
-        target = f"{self.folder}/commits/{batch}"
-        if self._fs.exists(self._path(target)) or not self._fs.rename(self._path(side), self._path(target)):
-            self._fs.delete(self._path(side), True)
-            return False
-        return True
-
-    def _held(self) -> set[str]:
-        names = set(self.commits())
-        log = f"{self.folder}/compacted"
-        if self._fs.exists(self._path(log)):
-            names |= {r.batch for r in self.spark.read.schema("batch string").parquet(log).distinct().collect()}
-        return names
-
-    def _rows(self, names: list[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/commits/{n}" for n in names])
+        side = f"{self.folder}/side/{uuid.uuid4().hex}"
+        _summed(delta).write.parquet(side)
+        return self._renamed(side, target)
+
+    def _folded(self) -> str | None:
+        """The folder of the compaction that counts."""
+        pointers = self._names("live")
+        if not pointers:
+            return None
+        stream = self._fs.open(self._path(f"{self.folder}/live/{pointers[-1]}"))
+        try:
+            return f"{self.folder}/folded/{stream.readUTF()}"
+        finally:
+            stream.close()
+
+    def _open(self, folded: str | None) -> list[str]:
+        """Commits that are not in the compaction. Those of earlier compactions hold no files any more."""
+        done = {r.name for r in self.spark.read.schema("name string").parquet(f"{folded}/names").collect()} if folded else set()
+        return [n for n in self._names("commits") if n not in done and self._files(n)]
+
+    def _files(self, commit: str) -> list:
+        return [s.getPath() for s in self._fs.listStatus(self._path(f"{self.folder}/commits/{commit}"))]
+
+    def _rows(self, folded: str | None, names: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/commits/{n}" for n in names] + ([f"{folded}/sums"] if folded else [])
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
         """Current totals; groups whose documents are all gone drop out."""
-        return _summed(self._rows(self.commits())).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        folded = self._folded()
+        return _summed(self._rows(folded, self._open(folded))).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+
+    def compact(self) -> bool:
+        """One compaction in place of the last one and all commits since. A crash at any step changes no total; of two
+        maintainers at once one wins. False if there is nothing to fold or the other has won."""
+        folded = self._folded()
+        if folded:
+            self._clean(folded)
+        names, pointers = self._open(folded), self._names("live")
+        if not names:
+            return False
+        new = uuid.uuid4().hex
+        _summed(self._rows(folded, names)).write.parquet(f"{self.folder}/folded/{new}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "name string").write.parquet(f"{self.folder}/folded/{new}/names")
+        side = f"{self.folder}/side/{new}"
+        stream = self._fs.create(self._path(side), False)
+        stream.writeUTF(new)
+        stream.close()
+        if not self._renamed(side, f"{self.folder}/live/{len(pointers):012d}"):
+            return False
+        self._clean(f"{self.folder}/folded/{new}")
+        return True
 
-    def compact(self) -> None:
-        """One commit in place of all; the batches' ids stay known. Run by one maintainer at a time."""
-        names = self.commits()
-        held = self.spark.createDataFrame([(n,) for n in names], "batch string")
-        side = f"{self.folder}/side-{uuid.uuid4().hex}"
-        _summed(self._rows(names)).write.parquet(side)
-        held.write.mode("append").parquet(f"{self.folder}/compacted")
-        for n in names:
-            self._fs.delete(self._path(f"{self.folder}/commits/{n}"), True)
-        self._fs.rename(self._path(side), self._path(f"{self.folder}/commits/compaction-{uuid.uuid4().hex}"))
+    def _clean(self, folded: str) -> None:
+        """Delete the files of the commits that the compaction holds, and leave their folders."""
+        for r in self.spark.read.schema("name string").parquet(f"{folded}/names").collect():
+            for file in self._files(r.name):
+                self._fs.delete(file, True)
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -137,15 +235,15 @@ def maintain(docs: DataFrame, gone: DataFrame, folder: str, versions: tuple[str,
     """The query's life of a corpus: all documents arrive; the same batch is delivered again; documents with an e-mail
     address are revised (address masked); documents that `gone` names are deleted with the counts they have then."""
     store = Store(docs.sparkSession, folder)
-    ledger = stage(count(docs, versions))
+    ledger = stage(count(docs, versions, mark=F.col("text").rlike(EMAIL)))
     store.commit("arrival", signed(ledger, 1))
     store.commit("arrival", signed(ledger, 1))
     changed = docs.filter(F.col("text").rlike(EMAIL))
     new = stage(count(changed.withColumn("text", masked(F.col("text"))), versions))
-    old = ledger.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
-    store.commit("revision", revision(old, new))
-    now = ledger.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
-    store.commit("deletion", signed(now.join(gone.select("doc_id").distinct(), "doc_id", "left_semi"), -1))
+    store.commit("revision", revision(ledger.filter("marked"), new))
+    now = ledger.filter("not marked").unionByName(new)
+    gone = small(stage(gone.select("doc_id").distinct(), light=True), 16)
+    store.commit("deletion", signed(now.join(gone, "doc_id", "left_semi"), -1))
     return store.totals()
 
 

@@ -1,11 +1,37 @@
+import base64
+import functools
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+import regex
 
+from tallygrid.llm import textkit as T
 from tallygrid.llm import tokencounts as C
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+@functools.cache
+def ranks(version):
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(version), "rb"))}
+
+
+@functools.cache
+def tokens_of(version, part):
+    """Merging by rank, from the definition."""
+    known, tokens = ranks(version), [bytes([x]) for x in part.encode()]
+    while len(tokens) > 1:
+        best = min(range(len(tokens) - 1), key=lambda k: known.get(tokens[k] + tokens[k + 1], 1 << 40))
+        if tokens[best] + tokens[best + 1] not in known:
+            break
+        tokens[best : best + 2] = [tokens[best] + tokens[best + 1]]
+    return len(tokens)
+
+
+def brute_count(version, text):
+    return sum(tokens_of(version, part) for part in regex.findall(public_tokenizers.PATTERN, text))
 
 
 def rows():
@@ -19,7 +45,7 @@ def brute(rows, gone):
         t = re.sub(C.EMAIL, "<email>", t or "")
         if d not in gone:
             for v in C.VERSIONS:
-                for name, n in zip(C.SUMS, (1, C._counter(v)(t), len(t.encode())), strict=True):
+                for name, n in zip(C.SUMS, (1, brute_count(v, t), len(t.encode())), strict=True):
                     total[source, lang, v, name] += n
     return +total
 
@@ -28,6 +54,76 @@ def got(df):
     return +Counter({(r.source, r.lang, r.tokenizer, c): r[c] for r in df.collect() for c in C.SUMS})
 
 
+TEXTS = ["", " ", "  a", "a b", "a  b", "a \n b", "it's we'll I'M ' s", "é è  à", "a\u00a0 b", "a \u00a0b", "\u3000 x \u2003 y\u2003", "x \u0085 y", "tab\tb c\x7f d \x1c e", "12 34  5,6 ,7 !!", "ünï côdé ß 漢字 かな", "trailing ", "a " * 50, "e\u0301 o"]
+
+
+def test_counts_equal_the_definition():
+    texts = [*TEXTS, *(a + b for a in TEXTS for b in TEXTS), None]
+    data, offsets = T.text_bytes(pa.array(texts, pa.string()))
+    counter = C.Counter(C.VERSIONS)
+    for _ in range(2):  # met and kept
+        got = counter.count(data, offsets)
+        assert got.tolist() == [[brute_count(v, t or "") for v in C.VERSIONS] for t in texts]
+    counter.KEPT = counter.kept.most = 10
+    assert (counter.count(data, offsets) == got).all()
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    table = [(None, "mail a@b.cc now", "en", "s"), (5, "mail a@b.cc now", "en", "s"), (5, "no address", "en", "s"), (None, "plain", "en", "s"), (6, "x", "de", "s"), (6, "y z@z.zz", "de", "s")]
+    docs = spark.createDataFrame([(*r, True, "v") for r in table], "doc_id long, text string, lang string, source string, marked boolean, tokenizer string").repartition(3)
+    gone = spark.createDataFrame([(6,), (None,)], "doc_id long")
+    assert got(C.maintain(docs, gone, str(tmp_path))) == brute(table, {6})
+
+
+class Crash(Exception):
+    pass
+
+
+def test_a_crash_in_compaction_changes_no_total(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string")
+    ledger = C.count(docs).cache()
+    store = C.Store(spark, str(tmp_path))
+    n = 0
+
+    def add():
+        nonlocal n
+        n += 1
+        assert store.commit(f"batch/{n}", C.signed(ledger, 1))
+
+    def crashing(name, when):
+        real, calls = getattr(C.Store, name), []
+
+        def run(self, *args):
+            calls.append(args)
+            if len(calls) == when:
+                raise Crash
+            return real(self, *args)
+
+        return run
+
+    add()
+    add()
+    one = got(store.totals())
+    for name, when in (("_rows", 1), ("_renamed", 1), ("_clean", 1), ("_clean", 2), ("_files", 8)):
+        add()
+        before = got(store.totals())
+        assert before == Counter({k: v // 2 * n for k, v in one.items()})
+        with monkeypatch.context() as m:
+            m.setattr(C.Store, name, crashing(name, when))
+            with pytest.raises(Crash):
+                store.compact()
+                store.compact()
+                add()
+                store.compact()
+                store.compact()
+        assert got(C.Store(spark, str(tmp_path)).totals()) == Counter({k: v // 2 * n for k, v in one.items()})
+        assert not store.commit("batch/1", C.signed(ledger, 1))
+    while store.compact():
+        pass
+    assert got(store.totals()) == Counter({k: v // 2 * n for k, v in one.items()})
+    assert sum(len(store._files(c)) for c in store._names("commits")) == 0
+
+
 def test_life_of_a_corpus(spark, tmp_path):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string").repartition(4)
     gone = spark.createDataFrame([(3,), (4,), (4,), (999,)], "doc_id long")
