@@ -3,26 +3,30 @@
 Each step of training text becomes a shard with a word-level suffix array, sorted to the length of the longest
 test item. The array is sparse: it holds the suffixes that start with one of the benchmark's k-grams,
 k being the shortest test window or four words, as no other suffix can match. Every test suffix is then
-binary-searched in every shard: the range that shares its window gives all occurrences, the neighbours of its
-place give the longest verbatim match. A document lies whole in one shard, so nothing is shuffled but the report of
-longest matches.
+binary-searched in every shard: the range that shares its window gives all occurrences, each is followed word by word to
+its longest verbatim match, and the longest of a document is reported with its item and location. `longest_matches`
+turns that round: the neighbours of a test suffix's place give its longest match anywhere, of k words or more. A
+document lies whole in one shard, so nothing is shuffled but that report.
 
 Defined cases: null or empty text has no words and is clean; an item without words is no query; items with equal
-text are reported each; repeated rows are judged one by one; other columns are ignored, whatever their names.
-An empty benchmark leaves all clean. The benchmark is a stated query set: it goes to the workers in blocks of at
-most BLOCK_BYTES, one scan a block.
+text are reported each; of equally long matches the one of the smallest item id, then the first in the document, is reported;
+repeated rows and null ids are judged one by one; very long texts are one shard; other columns are ignored, whatever
+their names. An empty benchmark leaves all clean. The benchmark is a stated query set: it goes to the workers in blocks of at
+most BLOCK_BYTES, and each row passes through all of them in one scan.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .staging import small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -40,6 +44,9 @@ class Queries:
         self.spelling = [b""] + [w.text(i) for i in _first_of(ids, len(self.vocabulary))]
         size = np.diff(w.first)
         self.item = [i for i, _ in items]
+        order = {i: k for k, i in enumerate(sorted({i for i in self.item if i is not None}), 1)}
+        #: The place of each item's id in their order, null first.
+        self.rank = np.array([order.get(i, 0) for i in self.item], dtype=np.int64)
         self.longest = int(size.max(initial=0))
         self.words = np.zeros(len(ids) + len(items) + self.longest + window, dtype=np.int64)
         place = np.arange(len(ids)) + w.row
@@ -141,6 +148,21 @@ class Shard:
         word = np.searchsorted(self.place, self.suffixes[at])
         return self._verified(q, query[own], word, width[own])
 
+    def followed(self, q: Queries, query: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How many words each occurrence goes on verbatim, to the end of the item at most, word bytes compared."""
+        place, length, most = self.place[word], q.width[query].copy(), q.remains[query]
+        live = np.flatnonzero(length < most)
+        while len(live):
+            live = live[self.words[place[live] + length[live]] == q.words[q.start[query[live]] + length[live]]]
+            length[live] += 1
+            live = live[length[live] < most[live]]
+        more = length > q.width[query]
+        _, at = T.ranges(word[more], word[more] + length[more])
+        bad = np.array([i for i in np.unique(at) if self.words_of.text(i) != q.spelling[self.words[self.place[i]]]], dtype=np.int64)
+        for k in np.flatnonzero(more) if len(bad) else ():
+            length[k] = min([length[k], *(bad[(bad >= word[k]) & (bad < word[k] + length[k])] - word[k])])
+        return length
+
     def _verified(self, q: Queries, query: np.ndarray, word: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids stand for 64-bit hashes; here the bytes of each matched word are held against the item's spelling."""
         _, at = T.ranges(word, word + width)
@@ -184,13 +206,28 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYT
     yield block
 
 
+_built: dict[str, Queries] = {}
+
+
+def queries_of(name: str, block: list[tuple], window: int) -> Queries:
+    """A block's queries, built once by a worker."""
+    if name not in _built:
+        while len(_built) >= 2:
+            _built.pop(next(iter(_built)))
+        _built[name] = Queries(block, window)
+    return _built[name]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: its id, n_words, hits (positions of hit words) and items (ids that occur, distinct)."""
+    """One row per document: its id, n_words, hits (positions of hit words), items (ids that occur, distinct), and of its longest
+    match the length in words (longest), the item (longest_item) and the first word's position (longest_at)."""
     item_type = benchmark.schema[item_id].dataType.simpleString()
 
     def one(rows: DataFrame, block: list[tuple], k: int, last: bool) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = Queries(block, window)
+            q = queries_of(name, block, window)
             for b in batches:
                 data, offsets = T.text_bytes(b.column(1))
                 for i, j in T.steps(offsets):
@@ -199,22 +236,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
                     query, word = s.occurrences(q)
                     new = _rows(b.column(0).slice(i, j - i), s, q, query, word, item_type)
                     held = [(c, b.column(c).slice(i, j - i)) for c in kept]
-                    added = [(f"{c}{k}", new.column(c)) for c in ("n_words", "hits", "items")]
+                    added = [(f"{c}{k}", new.column(c)) for c in _FOUND]
                     yield pa.RecordBatch.from_arrays([x for _, x in held + added], [c for c, _ in held + added])
 
         kept = [c for c in rows.columns if not last or c != "text"]
-        types = dict(rows.dtypes) | {f"n_words{k}": "bigint", f"hits{k}": "array<bigint>", f"items{k}": f"array<{item_type}>"}
-        return rows.mapInArrow(work, ", ".join(f"{c} {types[c]}" for c in [*kept, *list(types)[-3:]]))
+        kinds = dict(zip(_FOUND, ("bigint", "array<bigint>", f"array<{item_type}>", "bigint", item_type, "bigint"), strict=True))
+        types = dict(rows.dtypes)
+        return rows.mapInArrow(T.tidy(work), ", ".join([f"{c} {types[c]}" for c in kept] + [f"{c}{k} {t}" for c, t in kinds.items()]))
 
     # a row goes through all blocks, so that repeated rows and null ids stay rows of their own; each block adds any subset of its hit words
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = list(blocks(benchmark, item_id, text))
     for k, block in enumerate(every):
         rows = one(rows, block, k, k == len(every) - 1)
-    if len(every) == 1:
-        return rows.select("doc_id", F.col("n_words0").alias("n_words"), F.col("hits0").alias("hits"), F.col("items0").alias("items"))
     merged = lambda c: F.array_distinct(F.flatten(F.array(*(F.col(f"{c}{k}") for k in range(len(every))))))
-    return rows.select("doc_id", F.col("n_words0").alias("n_words"), merged("hits").alias("hits"), merged("items").alias("items"))
+    if len(every) == 1:
+        merged = lambda c: F.col(f"{c}0")
+
+    def longer(old: Column, new: Column) -> Column:
+        a, b = ([x[c] for c in _FOUND[3:]] for x in (old, new))
+        return F.when((b[0] > a[0]) | (b[0] == a[0]) & ((b[1] < a[1]) | (b[1] == a[1]) & (b[2] < a[2])), new).otherwise(old)
+
+    found = [F.struct(*(F.col(f"{c}{k}").alias(c) for c in _FOUND[3:])) for k in range(len(every))]
+    rows = rows.withColumn("best", F.aggregate(F.array(*found), found[0], longer))
+    return rows.select("doc_id", F.col("n_words0").alias("n_words"), merged("hits").alias("hits"), merged("items").alias("items"), *(F.col(f"best.{c}").alias(c) for c in _FOUND[3:]))
+
+
+#: What a scan finds in a document.
+_FOUND = ("n_words", "hits", "items", "longest", F.coalesce(F.col("longest_item").cast("string"), F.lit("")).alias("longest_item"), F.coalesce("longest_at", F.lit(-1).cast("bigint")).alias("longest_at"))
+
+
+def _list_kind(item_type: str) -> pa.DataType | None:
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}.get(item_type)
 
 
 def _rows(ids: pa.Array, s: Shard, q: Queries, query: np.ndarray, word: np.ndarray, item_type: str) -> pa.RecordBatch:
@@ -226,8 +279,17 @@ def _rows(ids: pa.Array, s: Shard, q: Queries, query: np.ndarray, word: np.ndarr
     items: list[list] = [[] for _ in range(n)]
     for key in np.unique(row[word] * (len(q.item) + 1) + q.owner[query]):
         items[key // (len(q.item) + 1)].append(q.item[key % (len(q.item) + 1)])
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type)
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first), type=pa.int64()), hits.cast(pa.list_(pa.int64())), pa.array([_distinct(x) for x in items], type=pa.list_(kind) if kind else None)], ["doc_id", "n_words", "hits", "items"])
+    kind = _list_kind(item_type)
+    # of each document the longest match, then the smallest item, then the first place
+    length, doc, owner = s.followed(q, query, word), row[word], q.owner[query]
+    order = np.lexsort((word, q.rank[owner], -length, doc))
+    order = order[np.unique(doc[order], return_index=True)[1]]
+    longest, at, item = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [None] * n
+    longest[doc[order]], at[doc[order]] = length[order], word[order] - first[doc[order]]
+    for d, o in zip(doc[order].tolist(), owner[order].tolist(), strict=True):
+        item[d] = q.item[o]
+    arrays = [ids, pa.array(np.diff(first), type=pa.int64()), hits.cast(pa.list_(pa.int64())), pa.array([_distinct(x) for x in items], type=pa.list_(kind) if kind else None), pa.array(longest), pa.array(item, type=kind), pa.array(at, mask=longest == 0)]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", *_FOUND])
 
 
 def _distinct(x: list) -> list:
@@ -241,8 +303,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def one(block: list[tuple]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = Queries(block)
+            q = queries_of(name, block, WINDOW)
             for b in batches:
                 data, offsets = T.text_bytes(b.column(1))
                 ids = b.column(0)
@@ -251,9 +315,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                     query, length, word = s.longest(q)
                     row = s.words_of.row[word]
                     begin = np.searchsorted(q.owner, q.owner[query])
-                    yield pa.RecordBatch.from_arrays([pa.array([q.item[x] for x in q.owner[query]], type=pa.int64() if item_type == "bigint" else None), pa.array(query - begin, type=pa.int64()), pa.array(length, type=pa.int64()), ids.take(pa.array(row + i)), pa.array(word - s.words_of.first[row], type=pa.int64())], ["item_id", "item_pos", "length", "doc_id", "doc_pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array([q.item[x] for x in q.owner[query]], type=_list_kind(item_type)), pa.array(query - begin, type=pa.int64()), pa.array(length, type=pa.int64()), ids.take(pa.array(row + i)), pa.array(word - s.words_of.first[row], type=pa.int64())], ["item_id", "item_pos", "length", "doc_id", "doc_pos"])
 
-        return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, f"item_id {item_type}, item_pos bigint, length bigint, doc_id {id_type}, doc_pos bigint")
+        return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), f"item_id {item_type}, item_pos bigint, length bigint, doc_id {id_type}, doc_pos bigint")
 
     every = None
     for b in blocks(benchmark, item_id, text):
@@ -269,8 +333,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     def one(kept: DataFrame, block: list[tuple]) -> DataFrame:
         place = columns.index(text)
 
+        name = uuid.uuid4().hex
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = Queries(block, window)
+            q = queries_of(name, block, window)
             for b in batches:
                 data, offsets = T.text_bytes(b.column(place))
                 keep = np.ones(b.num_rows, dtype=bool)
@@ -280,17 +346,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
                     keep[i + s.words_of.row[word]] = False
                 yield b.filter(pa.array(keep))
 
-        return kept.mapInArrow(work, schema)
+        return kept.mapInArrow(T.tidy(work), schema)
 
+    docs = small_batches(docs)
     for b in blocks(benchmark, item_id, text):
         docs = one(docs, b)
     return docs
 
 
 def digest(items: DataFrame) -> DataFrame:
-    """The contract's columns: items as strings, sorted, joined by commas, hashed."""
+    """The contract's columns: items as strings, sorted, joined by commas, hashed. Then the longest verbatim match; without one
+    its length is 0, its item empty and its place -1."""
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return items.select("doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    return items.select("doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "longest", F.coalesce(F.col("longest_item").cast("string"), F.lit("")).alias("longest_item"), F.coalesce("longest_at", F.lit(-1).cast("bigint")).alias("longest_at"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,8 +377,13 @@ dg AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM di,
 hit AS (SELECT doc_id, i, dg.k, item_id FROM dg JOIN win ON dg.k = win.k AND dg.g = win.g),
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
 n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+pair AS (SELECT DISTINCT doc_id, dg.i, b.item_id, dg.k, b.i AS j FROM dg JOIN (SELECT item_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g FROM bi) b ON dg.k = b.k AND dg.g = b.g),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, k, i - j ORDER BY i) AS r FROM pair),
+len AS (SELECT doc_id, item_id, k + count(*) - 1 AS n, min(i) - 1 AS spot FROM run GROUP BY doc_id, item_id, k, i - j, r),
+top AS (SELECT * FROM len QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id, spot) = 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(it.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
+  sha256(coalesce(it.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(top.n, 0) AS BIGINT) AS longest, coalesce(CAST(top.item_id AS VARCHAR), '') AS longest_item, CAST(coalesce(top.spot, -1) AS BIGINT) AS longest_at
+FROM dw LEFT JOIN top ON dw.doc_id = top.doc_id LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
 """
