@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import textkit as T
-from .staging import release_shuffles, stage
+from .staging import release_shuffles, small_batches, stage
 
 LENGTH = 200
 #: Text bytes of a block; a worker holds some 50 bytes a byte.
@@ -58,7 +58,7 @@ def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))], ["block_id", "doc_ids", "offsets", "data"])
                 number += 1
 
-    return stage(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, _BLOCK))
+    return stage(small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), _BLOCK))
 
 
 class Block:
@@ -175,15 +175,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             repeated[at[shared[np.searchsorted(distinct, names)]]] = True
             yield _documents(b, b._spread(np.flatnonzero(repeated), length))
 
-    r1 = X.answers(blocks.mapInArrow(first_level, X.REQUEST))
+    r1 = X.answers(blocks.mapInArrow(T.tidy(first_level), X.REQUEST))
     release_shuffles(spark)
     one = X.attach(blocks, r1, "r1")
-    r2 = X.answers(one.mapInArrow(second_level, X.REQUEST))
+    r2 = X.answers(one.mapInArrow(T.tidy(second_level), X.REQUEST))
     release_shuffles(spark)
     two = X.attach(one, r2, "r2")
-    r3 = X.answers(two.mapInArrow(third_level, X.REQUEST))
+    r3 = X.answers(two.mapInArrow(T.tidy(third_level), X.REQUEST))
     release_shuffles(spark)
-    return X.attach(two, r3, "r3").mapInArrow(result, "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
+    return X.attach(two, r3, "r3").mapInArrow(T.tidy(result), "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
 
 
 def _documents(b: Block, removed: np.ndarray) -> pa.RecordBatch:
