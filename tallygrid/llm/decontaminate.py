@@ -263,7 +263,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
 
 
 #: What a scan finds in a document.
-_FOUND = ("n_words", "hits", "items", "longest", F.coalesce(F.col("longest_item").cast("string"), F.lit("")).alias("longest_item"), F.coalesce("longest_at", F.lit(-1).cast("bigint")).alias("longest_at"))
+_FOUND = ("n_words", "hits", "items", "longest", "longest_item", "longest_at")
 
 
 def _list_kind(item_type: str) -> pa.DataType | None:
