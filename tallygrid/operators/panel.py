@@ -11,6 +11,8 @@ from tallygrid.operators import metrics
 
 def items_from_labeled(rows: DataFrame, classes: DataFrame, set_name: str, instructions: Column) -> DataFrame:
     """(row_no, query, class_id) and (class_id, name) -> items with all names, in name order, as the menu. The menu is one row of at most 256 names."""
+    if classes.limit(M.MOST_OPTIONS + 1).count() > M.MOST_OPTIONS:
+        raise ValueError(f"more than {M.MOST_OPTIONS} names")
     menu = classes.agg(F.array_sort(F.collect_list("name")).alias("criteria"))
     named = rows.join(F.broadcast(classes), "class_id").join(F.broadcast(menu))
     return named.select(F.lit(set_name).alias("set"), F.format_string(f"{set_name}-%05d", "row_no").alias("id"), F.lit("choice").alias("type"), F.size("criteria").alias("k"), F.col("query").alias("state"), instructions.alias("instructions"), "criteria", F.col("name").alias("gold"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrid.plans import corpus, custom, panel, relational, scoring
+from tallygrid.plans import baseline, corpus, custom, panel, relational, scoring
 
-TABLE = {**scoring.TABLE, **corpus.TABLE, **panel.TABLE, **custom.TABLE, **relational.TABLE}
+TABLE = {**scoring.TABLE, **corpus.TABLE, **panel.TABLE, **custom.TABLE, **baseline.TABLE, **relational.TABLE}
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
 ORACLES = {name: sql for name, (_, sql) in TABLE.items() if sql}
 flagship = scoring.summarize

@@ -304,7 +304,7 @@ TABLE = {
     "checksum_join": (checksum_join, "WITH a AS (SELECT url AS path, min(sha256(html)) AS s FROM pages GROUP BY url) SELECT path, CASE WHEN path LIKE '%.html' THEN 'extra' ELSE 'changed' END AS problem FROM a WHERE path LIKE '%.html' OR path LIKE 'https://m.%' UNION ALL SELECT 'gone', 'missing'"),
     "set_difference": (set_difference, "WITH a AS (SELECT source, lang FROM documents WHERE n_chars > 1000), b AS (SELECT source, lang FROM documents WHERE n_chars < 300) SELECT *, 'left' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"),
     "duplicate_keys": (duplicate_keys, "SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"),
-    "natural_sort": (natural_sort, "SELECT source || '/' || CAST(doc_id AS VARCHAR) AS id, 'src' || lpad(substring(source, 4), 20, '0') || '/' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS sort_key FROM documents"),
+    "natural_sort": (natural_sort, "SELECT source || '/' || CAST(doc_id AS VARCHAR) AS id, 'src' || lpad(CAST(length(CAST(CAST(substring(source, 4) AS BIGINT) AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(CAST(substring(source, 4) AS BIGINT) AS VARCHAR) || '/' || lpad(CAST(length(CAST(CAST(doc_id AS BIGINT) AS VARCHAR)) AS VARCHAR), 10, '0') || CAST(CAST(doc_id AS BIGINT) AS VARCHAR) AS sort_key FROM documents"),
     "hash_first_n": (hash_first_n, "SELECT doc_id FROM documents ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"),
     "ladder_holdout": (ladder_holdout, _GRP + "SELECT class, group_key, size, held_out FROM h"),
     "ladder_pool": (ladder_pool, _GRP + "SELECT class, group_key, size FROM tr WHERE before < 15"),

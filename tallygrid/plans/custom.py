@@ -83,7 +83,7 @@ def asset_resolve(spark, d):
 def adapter_menu(spark, d):
     """A reading-comprehension set built from documents, through an adapter and its counted skips."""
     docs = table(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("row_no"), F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("answer"), F.concat(F.lit("t"), F.substring("text", 1, 30)).alias("text"), F.lit("Which?").alias("question"), F.when(F.col("n_chars") % 13 == 0, F.array(*map(F.lit, "aabc"))).otherwise(F.array(*map(F.lit, "abcd"))).alias("options"))
+    rows = docs.select(F.col("doc_id").alias("row_no"), F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("answer"), F.concat(F.lit("t"), F.coalesce("text", F.lit(""))).alias("text"), F.lit("Which?").alias("question"), F.when(F.col("n_chars") % 13 == 0, F.array(*map(F.lit, "aabc"))).otherwise(F.array(*map(F.lit, "abcd"))).alias("options"))
     out = adapters.logiqa2(rows)
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("fate"), "gold_idx").agg(F.count(F.lit(1)).alias("n"))
 
@@ -96,12 +96,17 @@ def adapter_history(spark, d):
     return out.select("uid", F.md5("query").alias("digest"), "gold_idx", "reason")
 
 
+#: The planted text's five spans: two numbers, the comparison, the verdict and the last word.
+_SPANS = """WITH t AS (SELECT event_id, '3 * ' || CAST(event_id AS VARCHAR) || ' = ' AS a, CAST(event_id * 3 AS VARCHAR) AS b, CAST(CAST(round(value) AS INT) AS VARCHAR) AS c FROM events),
+p AS (SELECT event_id, length(a) AS s1, length(a) + length(b) AS e1, length(a) + length(b) + 13 AS s2, length(a) + length(b) + 13 + length(c) AS e2 FROM t)
+SELECT event_id, 5 AS n, s1 || '-' || e1 || ',' || s2 || '-' || e2 || ',' || (e2 + 4) || '-' || (e2 + 6) || ',' || (e2 + 22) || '-' || (e2 + 27) || ',' || (e2 + 37) || '-' || (e2 + 40) AS spans FROM p"""
+
 TABLE = {
     "html_text": (html_text, None),
     "email_text": (email_text, None),
     "mysqldump_rows": (mysqldump_rows, "SELECT doc_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS missing, n_chars FROM documents"),
     "state_text": (state_text, None),
-    "key_spans": (key_spans, None),
+    "key_spans": (key_spans, _SPANS),
     "split_steps": (split_steps, None),
     "curriculum": (curriculum, None),
     "token_groups": (token_groups, None),
@@ -109,6 +114,6 @@ TABLE = {
     "hierarchical_draws": (hierarchical_draws, None),
     "balanced_codes": (balanced_codes, None),
     "asset_resolve": (asset_resolve, None),
-    "adapter_menu": (adapter_menu, "WITH t AS (SELECT doc_id, doc_id % 4 AS a, 't' || substring(text, 1, 30) AS t, n_chars % 13 = 0 AS dup FROM documents), g AS (SELECT *, min(a) OVER w <> max(a) OVER w AS conflict FROM t WINDOW w AS (PARTITION BY t, dup)) SELECT CASE WHEN dup THEN 'duplicate_options' WHEN conflict THEN 'conflicting_labels' ELSE 'accepted' END AS fate, CAST(a AS INT) AS gold_idx, count(*) AS n FROM g GROUP BY 1, 2"),
+    "adapter_menu": (adapter_menu, "WITH t AS (SELECT doc_id, doc_id % 4 AS a, 't' || coalesce(text, '') AS t, n_chars % 13 = 0 AS dup FROM documents), g AS (SELECT *, min(a) OVER w <> max(a) OVER w AS conflict FROM t WINDOW w AS (PARTITION BY t, dup)) SELECT CASE WHEN dup THEN 'duplicate_options' WHEN conflict THEN 'conflicting_labels' ELSE 'accepted' END AS fate, CAST(a AS INT) AS gold_idx, count(*) AS n FROM g GROUP BY 1, 2"),
     "adapter_history": (adapter_history, None),
 }

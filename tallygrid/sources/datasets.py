@@ -61,7 +61,7 @@ def yes_no(rows: DataFrame) -> DataFrame:
 def utterances(rows: DataFrame) -> DataFrame:
     """id, name, utterances -> a row an utterance; a class is the rank of its id."""
     ids = C.class_ids(rows, "id").withColumnRenamed("name", "id")
-    return rows.join(F.broadcast(ids), "id").select("class_id", "name", F.posexplode("utterances").alias("no", "query"))
+    return rows.join(ids, "id").select("class_id", "name", F.posexplode("utterances").alias("no", "query"))
 
 
 def answered_utterances(rows: DataFrame) -> DataFrame:
