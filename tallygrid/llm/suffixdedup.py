@@ -69,7 +69,8 @@ class Block:
         self.offsets = np.frombuffer(row["offsets"], dtype=np.int64)
         self.doc_ids = np.frombuffer(row["doc_ids"], dtype=np.int64)
         self.length, self.period = length, period
-        self.rolling = T.Rolling(T.BYTE_VALUES[self.data])
+        # a value for each place and the seven bytes behind it: what a name hashes has no structure of the text's own
+        self.rolling = T.Rolling(T.splitmix64(T.eights(self.data)[:-1]))
         n = len(self.data)
         base = np.arange(0, n, period)[:, None] + np.array(cover)[None, :]
         at = base.ravel()
@@ -88,7 +89,7 @@ class Block:
         return self.length + self.period - 1
 
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        return self.rolling.spans(at, at + length)
+        return self.rolling.spans(at, at + length - min(7, length - 1))
 
     def left(self, replies: list[dict] | None, bits: int) -> np.ndarray:
         """Level 1's answer: the sampled suffixes whose short name is shared."""

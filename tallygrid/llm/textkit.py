@@ -64,7 +64,7 @@ _TOGETHER = 256
 _HEAD_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a number; zeros follow the end."""
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
@@ -77,7 +77,7 @@ def _at_place(word: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span data[start:end]: the sum over its eight-byte words of a value drawn for (place, word)."""
-    size, words = end - start, _eights(data)
+    size, words = end - start, eights(data)
     out = size.astype(np.uint64)
     at, k = np.flatnonzero((size > 0) & (size <= _TOGETHER)), 0
     while len(at):
@@ -95,8 +95,8 @@ def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.n
     """Which spans of data equal the spans of other, byte for byte."""
     size = end - start
     same = size == stop - begin
-    one = _eights(data)
-    two = one if other is data else _eights(other)
+    one = eights(data)
+    two = one if other is data else eights(other)
     at, k = np.flatnonzero(same & (size > 0) & (size <= _TOGETHER)), 0
     while len(at):
         left = size[at] - 8 * k
