@@ -80,7 +80,7 @@ class Counter:
 
         def new(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parts = [raw[a:z].decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
-            counts = np.array([[len(x) for x in e.encode_ordinary_batch(parts, num_threads=1)] for e in self.encodings], dtype=np.int64)
+            counts = np.array([[len(e.encode_ordinary(x)) for x in parts] for e in self.encodings], dtype=np.int64)
             return counts.T.ravel(), np.arange(len(parts) + 1) * many
 
         start = self.cuts(data, offsets)
