@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.llm import bitpack as B
 
@@ -24,9 +25,15 @@ def test_round_trip_and_random_access(bits):
     assert f.ids(lo, hi).tolist() == ids[lo:hi].tolist()
 
 
+def thue_morse(bits, a="a", b="b"):
+    """Its complement has the same polynomial hash modulo 2**64 from 1024 letters on, whatever the base."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(1 << bits))
+
+
 def texts():
     rnd = random.Random(3)
     odd = [None, "", "it's 12,345 naïve”, ''s 'tis don't.'re", "İ é́ \u0085x", "<|endoftext|> a", "   \t\n", "日本語123ß'll", "x" * 30000, "a b " * 5000, "\x00\x01\x7f"]
+    odd += [thue_morse(n, *ab) for n in (10, 11) for ab in ("ab", "ba")]
     return odd + ["".join(rnd.choice("aAbé. ,'\n1日") for _ in range(rnd.randint(0, 200))) for _ in range(80)]
 
 
@@ -46,6 +53,20 @@ def test_equals_library(spark, monkeypatch, file):
     assert got == want
 
 
+def test_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(2, "a b"), (1, "c"), (2, "d"), (2, "a b")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("shard", "file", "ids")})
+    got = sorted(map(tuple, B.read_files(B.write_files(docs, P.path("word_bpe_49k.json"), shards=2)).select("doc_id", "start", "n_tokens").collect()))
+    sizes = [n for _, _, n in got]
+    assert [d for d, _, _ in got] == [1, 2, 2, 2] and [s for _, s, _ in got] == [sum(sizes[:k]) for k in range(4)]
+
+
+def test_pieces_that_a_tokenizer_splits_are_encoded_apart(monkeypatch):
+    e = B.PieceEncoder(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(B.PieceEncoder, "_single", staticmethod(lambda piece: True))
+    ids, offsets = e.pieces(["ab", "12", "don't"])
+    assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:], strict=False)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab", "12", "don't")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert B.read_files(B.write_files(docs, P.path("word_bpe_49k.json"), shards=2)).count() == 0

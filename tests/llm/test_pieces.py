@@ -12,9 +12,15 @@ sentencepiece = pytest.importorskip("sentencepiece")
 pytest.importorskip("public_tokenizers")
 
 
+def thue_morse(bits, a="a", b="b"):
+    """Its complement has the same polynomial hash modulo 2**64 from 1024 letters on, whatever the base."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(1 << bits))
+
+
 def texts():
     rnd = random.Random(11)
     odd = ["", None, " ", "  a  b ", "a" * 700, "▁literal ▁ mark", "\x00\x01\n\n\t ", "日本語テキスト ☃️ é", " " * 40 + "x" + " " * 19, "ﬁ Å x²", "<s> </s> <0x41>", "...!!!" * 60, "=" * 900, "\U0001f600\U0001f468‍\U0001f469"]
+    odd += [thue_morse(n, *ab) for n in (10, 11) for ab in ("ab", "ba", "=-", "-=")] + [" ".join(f"w{k} long" for k in range(9000)), "twice", "twice"]
     alphabet = "etaoin shrdlu ETAOIN.,!?'\n\té日ñ0123456789-="
     return odd + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 400))) for _ in range(200)]
 

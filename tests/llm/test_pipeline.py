@@ -82,3 +82,28 @@ def test_stages_keep_columns(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, apply in P.STAGES[:-1]:
         assert apply(spark, table, str(tmp_path)).schema.names == table.schema.names
+
+
+def run(spark, folder, docs, items, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return P.run(spark, str(folder)).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run(spark, tmp_path / "a", [], [(1, "x")]) == []
+    assert [r.doc_id for r in run(spark, tmp_path / "b", [(1, "some words here", "en", "s", 15)], [])] == [1]
+
+
+def test_repeated_ids_ties_long_texts_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"word{'abcdefghij'[k % 10]}{k}" for k in range(60_000))
+    item = " ".join(f"item{k}" for k in range(12))
+    docs = [
+        (1, "one two three four five six", "en"), (1, "one two three four five six", "en"),  # a repeated row
+        (2, "seven eight nine ten", "en"), (2, "eleven twelve thirteen", "en"),  # one id, two texts
+        (None, "red green blue white black", "en"), (3, "Red green blue white black", "en"), (None, None, None),
+        (5, long, "en"), (6, long + " end", "en"), (7, f"{long} {item}", "en"), (8, f"before {item} behind", "en"),
+    ]
+    rows = [(d, t, lang, "s", 1, 2, 3, "x", 4) for d, t, lang in docs]
+    got = run(spark, tmp_path, rows, [(1, item)], "doc_id long, text string, lang string, source string, set int, part int, keys int, digest string, _doc_id int")
+    assert sorted((r.doc_id, r.decoded) for r in got) == sorted([(1, docs[0][1]), (2, docs[2][1]), (2, docs[3][1]), (3, docs[5][1]), (5, long)])

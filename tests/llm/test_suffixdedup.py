@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.llm import suffixdedup as S
 
@@ -27,6 +28,16 @@ def test_equals_definition(spark, length, period, cover):
     assert run(spark, list(texts.items()), length=length, period=period, cover=cover, limit=700) == S.brute_force(texts, length)
 
 
+def test_repeated_ids_and_a_very_long_text(spark):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefghij \n") for _ in range(3_000_000))
+    texts = {1: long, 2: "x" + long[1_000_000:1_000_500] + "y", 3: "short"}
+    got = run(spark, list(texts.items()), limit=1 << 20)
+    assert got == S.brute_force(texts)
+    rows = spark.createDataFrame([(7, "q" * 250), (7, "w" + "q" * 230), (7, "clean"), (8, "e" * 199)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("offsets", "doc_ids", "kept")})
+    assert sorted((r.doc_id, r.n_bytes, len(r.kept)) for r in S.repeats(rows).collect()) == [(7, 5, 5), (7, 231, 1), (7, 250, 0), (8, 199, 199)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
