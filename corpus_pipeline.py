@@ -2,6 +2,12 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: a document without text or letter goes in the first stage; of texts that are equal but for A-Z the row with the
+largest doc_id stays, a null id being smaller than any; of similar texts the row with the smallest doc_id stays, null last, and
+of repeated rows one; rows of one id with different texts are documents of their own; an empty benchmark removes nothing; very
+long texts are read whole by every stage; other columns go through unchanged up to the last stage, whatever their names; an
+empty documents table gives no rows.
 """
 
 from __future__ import annotations
