@@ -1,20 +1,23 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 DataFrame functions only. Template words are a fixed vocabulary, whose document frequencies are counted over all
-texts. A unit is a line (a header) or a whole text (a licence file); its vector has a weight tf * idf for every word,
-words outside the vocabulary weighing as words of no document. A unit matches a template at a cosine of LEAST or more.
+texts. A unit is a line, a paragraph (what stands between lines without a letter or digit, so a notice may be wrapped and
+commented out), or a whole text (a licence file); its vector has a weight tf * idf for every word, words outside the
+vocabulary weighing as words of no document. A unit matches a template at a cosine of LEAST or more; a licence may have
+several templates. Words meet templates by a join, and a sum by unit and template gives all dot products. A line
+with an SPDX tag has the licence that it names, with a score of 1.
 
-Only lines that can reach it are looked at: a template's anchors are its heaviest words, enough of them that the others
+Only units that can reach LEAST are looked at: a template's anchors are its heaviest words, enough of them that the others
 weigh less than LEAST together, so a unit without any anchor has a smaller cosine with every template. Only texts with an anchor are
 split into words a second time.
 
-A document whose whole text matches is a licence file and speaks for its directory; a document with a matching line has
-that licence; any other takes that of the nearest ancestor directory with a licence file. Directories are resolved once each, by
-joins on their ancestors' paths, and documents join their own directory.
+A document whose whole text matches is a licence file and speaks for its directory; a document with a matching line or
+paragraph has that licence; any other takes that of the nearest ancestor directory with a licence file. Directories are
+resolved once each, by joins on their ancestors' paths, and documents join their own directory.
 
-Defined cases: null and empty texts match nothing and may inherit; ties go to the template of the smaller id, then the
-earlier line, in a directory to the licence file with the smallest id; repeated rows are judged alike; long texts are
-read whole; other columns are ignored; an empty table gives no rows; a null path has no directory.
+Defined cases: null and empty texts match nothing and may inherit; ties go to the template of the smaller name, then to
+paragraphs before lines and the earlier line, in a directory to the licence file with the smallest id; repeated rows are
+judged alike; long texts are read whole; other columns are ignored; an empty table gives no rows; a null path has no directory.
 """
 
 from __future__ import annotations
@@ -25,19 +28,42 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Licence ids and the notices that name them.
+_GRANT_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_GRANT_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_TERMS_BSD = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES_BSD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_END_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GRANT_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+_GRANT_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_END_GPL = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+#: Licence ids and the notices that name them; what follows # tells the notices of one licence apart.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Apache-2.0#grant": _GRANT_APACHE,
+    "Apache-2.0#header": _GRANT_APACHE + ' http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause#text": f"{_GRANT_BSD}: {_TERMS_BSD} {_END_BSD}",
+    "BSD-3-Clause": _GRANT_BSD,
+    "BSD-3-Clause#text": f"{_GRANT_BSD}: {_TERMS_BSD} {_NAMES_BSD} {_END_BSD}",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "This work has been dedicated to the public domain under CC0 1.0 Universal.",
+    "GPL-2.0#grant": _GRANT_GPL.format(2),
+    "GPL-2.0#header": f"{_GRANT_GPL.format(2)} {_END_GPL}",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0#grant": _GRANT_GPL.format(3),
+    "GPL-3.0#header": f"{_GRANT_GPL.format(3)} {_END_GPL}",
+    "ISC#text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
+    "MIT#grant": _GRANT_MIT,
+    "MIT#text": _GRANT_MIT + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0#header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Proprietary": "All rights reserved.",
 }
+#: Fixed value: the tag that names a licence.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
+_PARAGRAPH = r"\n[^a-z0-9\n]*\n"
 LEAST = 0.6
 _WORD = "[^a-z0-9]+"
 
@@ -83,25 +109,35 @@ def fit(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "tex
 
 
 def matches(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, unit, licence, score): the best template of each unit that matches. Unit -1 is the whole text, others are line numbers."""
+    """(doc_id, unit, licence, score): the best template of each unit that matches. Unit -1 is the whole text, smaller ones are
+    paragraphs, larger ones line numbers."""
     spark = docs.sparkSession
     low = F.lower(F.col(text))
     able = docs.select(F.col(doc_id).alias("doc_id"), low.alias("low")).filter(F.col("low").rlike(model.pattern()))
-    lines = F.transform(F.split("low", "\n"), lambda x, k: F.struct(k.alias("unit"), x.alias("body")))
-    some = F.filter(lines, lambda u: u["body"].rlike(model.pattern()))
-    units = able.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("unit"), F.col("low").alias("body"))), some)).alias("u")).select("doc_id", "u.unit", F.explode(_split(F.col("u.body"))).alias("word"))
+
+    def some(separator: str, number) -> Column:
+        parts = F.transform(F.split("low", separator), lambda x, k: F.struct(number(k).cast("int").alias("unit"), x.alias("body")))
+        return F.filter(parts, lambda u: u["body"].rlike(model.pattern()))
+
+    whole = F.array(F.struct(F.lit(-1).alias("unit"), F.col("low").alias("body")))
+    units = able.select("doc_id", F.explode(F.concat(whole, some("\n", lambda k: k), some(_PARAGRAPH, lambda k: -2 - k))).alias("u")).select("doc_id", "u.unit", F.explode(_split(F.col("u.body"))).alias("word"))
     tf = units.groupBy("doc_id", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     # both tables are as large as the templates, a parameter
     idf = spark.createDataFrame(sorted(model.idf.items()), "word string, idf double")
-    weight = spark.createDataFrame([(w, [(n, model.unit[n][w]) for n in sorted(model.unit) if w in model.unit[n]]) for w in sorted(model.idf)], "word string, parts array<struct<licence:string,x:double>>")
+    weight = spark.createDataFrame([(w, [(n, model.unit[n][w]) for n in sorted(model.unit) if w in model.unit[n]]) for w in sorted(model.idf)], "word string, parts array<struct<name:string,x:double>>")
     vector = tf.join(F.broadcast(idf.join(weight, "word")), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(model.rare)))
-    names = sorted(model.unit)
-    dots = [F.sum(F.col("x") * F.coalesce(F.expr(f"get(filter(parts, p -> p.licence = '{n}'), 0).x"), F.lit(0.0))).alias(f"d{k}") for k, n in enumerate(names)]
-    sums = vector.groupBy("doc_id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
-    # rounded, so that the order of a sum decides neither a tie nor a match
-    best = F.array_max(F.array(*(F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 6).alias("score"), F.lit(-k).alias("rank")) for k in range(len(names)))))
-    out = sums.select("doc_id", "unit", best.alias("b")).filter(F.col("b.score") >= least)
-    return out.select("doc_id", "unit", F.element_at(F.array(*map(F.lit, names)), 1 - F.col("b.rank")).alias("licence"), F.col("b.score").alias("score"))
+    # a word's share in each template's dot product, and under no name in the square of the norm
+    square = F.array(F.struct(F.lit("").alias("name"), F.col("x").alias("x")))
+    shares = vector.select("doc_id", "unit", "x", F.explode(F.concat(F.coalesce("parts", F.array().cast("array<struct<name:string,x:double>>")), square)).alias("p"))
+    dots = shares.groupBy("doc_id", "unit", F.col("p.name").alias("name")).agg(F.sum(F.col("x") * F.col("p.x")).alias("dot"))
+    # as many names as templates; rounded, so that the order of a sum decides neither a tie nor a match
+    sums = dots.groupBy("doc_id", "unit").agg(F.sqrt(F.max(F.when(F.col("name") == "", F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("name") != "", F.struct("dot", "name"))).alias("dots"))
+    scores = F.array_sort(F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / F.col("norm"), 6)).alias("less"), d["name"].alias("name"))))
+    best = sums.select("doc_id", "unit", F.get(scores, F.lit(0)).alias("b")).filter(-F.col("b.less") >= least)
+    by_text = best.select("doc_id", "unit", F.split_part("b.name", F.lit("#"), F.lit(1)).alias("licence"), (-F.col("b.less")).alias("score"))
+    tags = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, k: F.struct(k.alias("unit"), F.regexp_extract(x, SPDX, 1).alias("licence"))), lambda t: t["licence"] != "")
+    tagged = docs.filter(F.contains(F.col(text), F.lit("SPDX-License-Identifier:"))).select(F.col(doc_id).alias("doc_id"), F.explode(tags).alias("t"))
+    return by_text.unionByName(tagged.select("doc_id", "t.unit", "t.licence", F.lit(1.0).alias("score")))
 
 
 def directory(path: Column) -> Column:
@@ -111,8 +147,8 @@ def directory(path: Column) -> Column:
 def scan(docs: DataFrame, path: Column, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row a document: doc_id, path, licence, how (file, header, inherited, none), score, from_doc."""
     found = matches(docs, model, doc_id, text, least)
-    # a file's own licence: its whole text's, or its best line's
-    rank = F.struct((F.col("unit") < 0).alias("whole"), F.col("score"), (-F.col("unit")).alias("line"), "licence")
+    # a file's own licence: its whole text's, or that of its best paragraph or line
+    rank = F.struct((F.col("unit") == -1).alias("whole"), F.col("score"), (-F.col("unit")).alias("line"), "licence")
     own = found.groupBy("doc_id").agg(F.max(rank).alias("m")).select(F.col("doc_id").alias("own_id"), F.col("m.licence").alias("own"), F.col("m.whole").alias("whole"), F.col("m.score").alias("own_score"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), path.alias("path"), directory(path).alias("dir"))
     held = rows.join(own, F.col("doc_id") == F.col("own_id"), "left").drop("own_id")
@@ -152,14 +188,17 @@ df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ws) AS w
 idf AS (SELECT v.word, ln((n.n + 1) / CAST(coalesce(df.df, 0) + 1 AS DOUBLE)) + 1 AS idf FROM (SELECT DISTINCT word FROM tt) v CROSS JOIN n LEFT JOIN df ON v.word = df.word),
 tv AS (SELECT id, tt.word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS x FROM tt JOIN idf ON tt.word = idf.word),
 un AS (SELECT doc_id, -1 AS unit, ws FROM d UNION ALL
+  SELECT doc_id, -1 - i, regexp_split_to_array(ps[i], '{_WORD}') FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(low, '{_PARAGRAPH}') AS ps FROM d)) UNION ALL
   SELECT doc_id, i - 1, regexp_split_to_array(ls[i], '{_WORD}') FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(low, chr(10)) AS ls FROM d))),
 tf AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(ws) AS word FROM un) WHERE word <> '' GROUP BY ALL),
 uv AS (SELECT doc_id, unit, tf.word, tf * coalesce(idf, ln(n.n + 1) + 1) AS x FROM tf CROSS JOIN n LEFT JOIN idf ON tf.word = idf.word),
 nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM uv GROUP BY doc_id, unit),
 sc AS (SELECT uv.doc_id, uv.unit, tv.id, round(sum(uv.x * tv.x) / any_value(norm), 6) AS score FROM uv JOIN tv ON uv.word = tv.word JOIN nm ON uv.doc_id = nm.doc_id AND uv.unit = nm.unit GROUP BY uv.doc_id, uv.unit, tv.id),
 bu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY score DESC, id) AS r FROM sc WHERE score >= {LEAST}) WHERE r = 1),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (unit < 0) DESC, score DESC, unit) AS q FROM bu) WHERE q = 1),
-h AS (SELECT d.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own.id AS own, own.unit < 0 AS whole, own.score FROM d LEFT JOIN own ON d.doc_id = own.doc_id),
+tag AS (SELECT doc_id, i - 1 AS unit, regexp_extract(ls[i], '{SPDX}', 1) AS id FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+fu AS (SELECT doc_id, unit, split_part(id, '#', 1) AS id, score FROM bu UNION ALL SELECT doc_id, unit, id, 1.0::DOUBLE FROM tag WHERE id <> ''),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (unit = -1) DESC, score DESC, unit, id DESC) AS q FROM fu) WHERE q = 1),
+h AS (SELECT d.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own.id AS own, own.unit = -1 AS whole, own.score FROM d LEFT JOIN own ON d.doc_id = own.doc_id),
 f AS (SELECT * FROM (SELECT dir AS fdir, doc_id AS fdoc, own AS fown, score AS fscore, row_number() OVER (PARTITION BY dir ORDER BY doc_id) AS r FROM h WHERE whole) WHERE r = 1),
 near AS (SELECT * FROM (SELECT x.dir AS ndir, f.*, row_number() OVER (PARTITION BY x.dir ORDER BY length(fdir) DESC) AS k FROM (SELECT DISTINCT dir FROM h) x JOIN f ON x.dir = fdir OR starts_with(x.dir, fdir || '/')) WHERE k = 1)
 SELECT doc_id, path, CASE WHEN own IS NOT NULL THEN own ELSE fown END AS licence,
