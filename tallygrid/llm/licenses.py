@@ -7,7 +7,7 @@ vocabulary weighing as words of no document. A unit matches a template at a cosi
 several templates. Words meet templates by a join, and a sum by unit and template gives all dot products. A line
 with an SPDX tag has the licence that it names, with a score of 1.
 
-Only units that can reach LEAST are looked at: a template's anchors are its heaviest words, enough of them that the others
+Only units that can reach LEAST are looked at: a template's anchors are its rarest words, enough of them that the others
 weigh less than LEAST together, so a unit without any anchor has a smaller cosine with every template. Only texts with an anchor are
 split into words a second time.
 
@@ -90,14 +90,18 @@ class Model:
             norm = math.sqrt(sum(x * x for _, x in sorted(weight.items())))
             self.unit[name] = {w: x / norm for w, x in weight.items()}
             rest = 1.0
-            for w, x in sorted(self.unit[name].items(), key=lambda p: (-p[1], p[0])):
+            for w, x in sorted(self.unit[name].items(), key=lambda p: (-self.idf[p[0]], -p[1], p[0])):
                 if rest < least * least * 0.999:
                     break
                 self.anchors.add(w)
                 rest -= x * x
 
     def pattern(self) -> str:
-        return "(^|[^a-z0-9])(" + "|".join(sorted(self.anchors)) + ")($|[^a-z0-9])"
+        """Any anchor as a word of its own; words with one first letter are tried together."""
+        heads: dict[str, list[str]] = {}
+        for w in sorted(self.anchors):
+            heads.setdefault(w[0], []).append(w[1:])
+        return "(?:^|[^a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in heads.items()) + ")(?:$|[^a-z0-9])"
 
 
 def fit(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", least: float = LEAST) -> Model:
