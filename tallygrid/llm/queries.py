@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, licenses, pieces, suffixdedup, tokencounts, warc
+from tallygrid.llm import bitpack, decontaminate, exactdedup, jaccard, langid, licenses, mix, pieces, sortmeans, suffixdedup, tokencounts, warc, yinyang
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exactdedup": exactdedup.query,
     "op9_warc": warc.query,
     "op10_suffixdedup": suffixdedup.query,
+    "op11_mix": mix.query,
+    "op12_sortmeans": sortmeans.query,
+    "op13_yinyang": yinyang.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op7_licenses": licenses.SQL,
     "op8_exactdedup": exactdedup.SQL,
     "op9_warc": warc.SQL,
+    "op11_mix": mix.SQL,
+    "op12_sortmeans": sortmeans.SQL,
+    "op13_yinyang": yinyang.SQL,
 }
