@@ -11,7 +11,7 @@ and pre-tokeniser work within white space and ASCII letter/punctuation borders,
 apostrophe or a non-ASCII byte) and the pieces' ids are put together again; a text with one of the special tokens'
 spellings, or a tokenizer of another kind, is encoded whole.
 
-Defined cases: null is empty and has the end id alone; repeated ids stand beside each other; a very long text is one
+Defined cases: a null text is empty and has the end id alone; null ids come first, in ascending order, and stay null; repeated ids stand beside each other; a very long text is one
 document of one file; an empty table has no files; other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ MAGIC = b"PACKIDS1"
 #: Ids of a block, and (about) of a file.
 BLOCK, FILE_IDS = 4096, 1 << 19
 END_ID = 1
-_HEAD = struct.Struct("<8sHHIIQ")  # magic, bits, 0, documents, blocks, ids
+_HEAD = struct.Struct("<8sHHIIQ")  # magic, bits, whether ids are absent, documents, blocks, ids
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -54,18 +54,20 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return (flags.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: int, absent: np.ndarray | None = None) -> bytes:
+    """`absent`: which documents have no id. Their bits stand behind the blocks, and only if there is one."""
+    absent = absent if absent is not None and absent.any() else np.zeros(0, dtype=bool)
     blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
     places = np.cumsum([0, *map(len, blocks)], dtype="<u8")
-    head = _HEAD.pack(MAGIC, bits, 0, len(doc_ids), len(blocks), len(ids))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), places.tobytes(), *blocks])
+    head = _HEAD.pack(MAGIC, bits, len(absent) > 0, len(doc_ids), len(blocks), len(ids))
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), places.tobytes(), *blocks, np.packbits(absent).tobytes()])
 
 
 class PackedFile:
     """Random access to one file's bytes."""
 
     def __init__(self, content: bytes):
-        magic, self.bits, _, n, blocks, self.length = _HEAD.unpack_from(content)
+        magic, self.bits, absent, n, blocks, self.length = _HEAD.unpack_from(content)
         if magic != MAGIC:
             raise ValueError("not a packed-id file")
         at = _HEAD.size
@@ -74,6 +76,7 @@ class PackedFile:
         self.places = np.frombuffer(content, dtype="<u8", count=blocks + 1, offset=at + 12 * n)
         self.data = memoryview(content)[at + 12 * n + 8 * (blocks + 1) :]
         self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.absent = np.unpackbits(np.frombuffer(self.data[self.places[-1] :], dtype=np.uint8), count=n).astype(bool) if absent else np.zeros(n, dtype=bool)
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
         """Ids [lo, hi) of the file; only their blocks are unpacked."""
@@ -110,7 +113,9 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         suffix = spec["model"].get("end_of_word_suffix")
-        self.by_piece = bool(suffix) and spec["normalizer"] is not None and spec["pre_tokenizer"] is not None
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        lowers = spec["normalizer"] is not None and self.tokenizer.normalizer.normalize_str(upper) == upper.lower()
+        self.by_piece = bool(suffix) and lowers and spec["pre_tokenizer"] is not None
         self.is_end = np.zeros(self.size, dtype=bool)
         if self.by_piece:
             self.is_end[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
@@ -205,17 +210,18 @@ def write_files(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str =
         encoder = encoder_of(file)
         shard, number = TaskContext.get().partitionId(), 0
         for names, sizes, ids in encoded(batches, encoder, end_id):
-            doc_ids, ends = names.to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            (doc_ids, absent), ends = T.whole_numbers(names), np.cumsum(sizes)
             first = 0
             while first < len(sizes):  # a file ends after the document with which it has FILE_IDS
                 begin = ends[first - 1] if first else 0
                 last = min(int(np.searchsorted(ends, begin + FILE_IDS)) + 1, len(sizes))
-                raw = write_file(doc_ids[first:last], sizes[first:last], ids[begin : ends[last - 1]], encoder.bits)
+                raw = write_file(doc_ids[first:last], sizes[first:last], ids[begin : ends[last - 1]], encoder.bits, absent[first:last])
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([ends[last - 1] - begin], pa.int64()), pa.array([raw], pa.binary())], ["shard", "file", "ids", "content"])
                 number, first = number + 1, last
 
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    # the input's splits are bounded in bytes, so with as many shards a shard is, too
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return stage(ordered.mapInArrow(T.tidy(work), "shard int, file int, ids bigint, content binary"), "none")
 
@@ -235,7 +241,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 p = PackedFile(raw.as_py())
                 crc = [zlib.crc32(p.document(k).astype("<u4").tobytes()) for k in range(len(p.doc_ids))]
                 n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int32()), pa.array([f] * n, pa.int32()), pa.array(p.doc_ids), pa.array(p.starts[:-1]), pa.array(p.sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "file", "doc_id", "offset", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int32()), pa.array([f] * n, pa.int32()), pa.array(p.doc_ids, mask=p.absent), pa.array(p.starts[:-1]), pa.array(p.sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "file", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
     rows = files.select("shard", "file", "content").mapInArrow(T.tidy(work), "shard int, file int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(starts, ["shard", "file"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

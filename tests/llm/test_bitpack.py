@@ -54,10 +54,13 @@ def test_equals_library(spark, monkeypatch, file):
 
 
 def test_repeated_and_null_ids(spark):
-    docs = spark.createDataFrame([(2, "a b"), (1, "c"), (2, "d"), (2, "a b")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("shard", "file", "ids")})
-    got = sorted(map(tuple, B.read_files(B.write_files(docs, P.path("word_bpe_49k.json"), shards=2)).select("doc_id", "start", "n_tokens").collect()))
-    sizes = [n for _, _, n in got]
-    assert [d for d, _, _ in got] == [1, 2, 2, 2] and [s for _, s, _ in got] == [sum(sizes[:k]) for k in range(4)]
+    far = (1 << 53) + 1
+    rows = [(2, "a b"), (1, "c"), (None, "n n n"), (2, "d"), (2, "a b"), (far, "e"), (None, None), (-(1 << 63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("shard", "file", "ids", "absent")})
+    for shards in (1, 3):
+        got = sorted(B.read_files(B.write_files(docs, P.path("word_bpe_49k.json"), shards=shards)).select("doc_id", "start", "n_tokens").collect(), key=lambda r: r.start)
+        sizes = [r.n_tokens for r in got]
+        assert [r.doc_id for r in got] == [None, None, -(1 << 63), 1, 2, 2, 2, far] and [r.start for r in got] == [sum(sizes[:k]) for k in range(len(rows))]
 
 
 def test_pieces_that_a_tokenizer_splits_are_encoded_apart(monkeypatch):
@@ -67,6 +70,18 @@ def test_pieces_that_a_tokenizer_splits_are_encoded_apart(monkeypatch):
     assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:], strict=False)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ab", "12", "don't")]
 
 
+def test_a_tokenizer_that_keeps_case_is_encoded_whole(tmp_path):
+    import json
+
+    spec = json.loads(tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")).to_str())
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    e = B.PieceEncoder(str(tmp_path / "cased.json"))
+    assert not e.by_piece and B.PieceEncoder(P.path("word_bpe_49k.json")).by_piece
+    data = np.frombuffer(b"Some Words", dtype=np.uint8)
+    assert e.encode(data, np.array([0, 10]))[0].tolist() == e.tokenizer.encode("Some Words", add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert B.read_files(B.write_files(docs, P.path("word_bpe_49k.json"), shards=2)).count() == 0
