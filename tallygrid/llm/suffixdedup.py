@@ -19,7 +19,7 @@ All three sorts run on packed names (see exchange.py), never on a row a suffix,
 table, so every level recomputes a block's names in the same order and an answer is a bit a name.
 
 Defined cases: null and empty texts have no bytes; documents shorter than LENGTH lose nothing; repeated rows are repeats
-of each other; ties do not arise, as every occurrence is removed; other columns are ignored; an empty table gives no
+of each other; a null id stays null; ties do not arise, as every occurrence is removed; other columns are ignored; an empty table gives no
 rows. A document must fit into a worker (some 50 bytes a byte of text).
 """
 
@@ -43,19 +43,19 @@ LENGTH = 200
 BLOCK_BYTES = 4 << 20
 #: A perfect difference set: each residue modulo 133 but 0 is the difference of exactly one ordered pair.
 PERIOD, COVER = 133, (0, 9, 10, 12, 26, 30, 67, 74, 82, 109, 114, 120)
-_BLOCK = "block_id bigint, doc_ids binary, offsets binary, data binary"
+_BLOCK = "block_id bigint, doc_ids binary, absent binary, offsets binary, data binary"
 
 
 def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
-    """Documents in blocks of whole texts of about `limit` bytes: (block_id, doc_ids, offsets, data), written."""
+    """Documents in blocks of whole texts of about `limit` bytes: (block_id, doc_ids, absent, offsets, data), written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for b in batches:
             data, offsets = T.text_bytes(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, absent = T.whole_numbers(b.column(0))
             for i, j in T.steps(offsets, limit):
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))], ["block_id", "doc_ids", "offsets", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], absent[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))], ["block_id", "doc_ids", "absent", "offsets", "data"])
                 number += 1
 
     return stage(small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), _BLOCK))
@@ -67,7 +67,7 @@ class Block:
     def __init__(self, row: dict, length: int, period: int, cover: tuple[int, ...]):
         self.data = np.frombuffer(row["data"], dtype=np.uint8)
         self.offsets = np.frombuffer(row["offsets"], dtype=np.int64)
-        self.doc_ids = np.frombuffer(row["doc_ids"], dtype=np.int64)
+        self.doc_ids, self.absent = np.frombuffer(row["doc_ids"], dtype=np.int64), np.frombuffer(row["absent"], dtype=bool)
         self.length, self.period = length, period
         # a value for each place and the seven bytes behind it: what a name hashes has no structure of the text's own
         self.rolling = T.Rolling(T.splitmix64(T.eights(self.data)[:-1]))
@@ -201,7 +201,7 @@ def _documents(b: Block, removed: np.ndarray) -> pa.RecordBatch:
         ends.append(np.flatnonzero(edge == -1).tolist())
         kept.append(b.data[a:z][~gone].tobytes())
     runs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(b.doc_ids), pa.array(np.diff(b.offsets)), pa.array(starts, runs), pa.array(ends, runs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
+    return pa.RecordBatch.from_arrays([pa.array(b.doc_ids, mask=b.absent), pa.array(np.diff(b.offsets)), pa.array(starts, runs), pa.array(ends, runs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,13 @@ def test_repeated_ids_and_a_very_long_text(spark):
     assert sorted((r.doc_id, r.n_bytes, len(r.kept)) for r in S.repeats(rows).collect()) == [(7, 5, 5), (7, 231, 1), (7, 250, 0), (8, 199, 199)]
 
 
+def test_null_ids_beside_large_ones(spark):
+    far = (1 << 53) + 1
+    rows = spark.createDataFrame([(None, "q" * 250), (far, "w" + "q" * 230), (None, None), (far + 1, "clean")], "doc_id long, text string").withColumn("absent", F.lit(1)).coalesce(1)
+    got = sorted(((r.doc_id, r.n_bytes, len(r.kept)) for r in S.repeats(rows).collect()), key=str)
+    assert got == sorted([(None, 250, 0), (far, 231, 1), (None, 0, 0), (far + 1, 5, 5)], key=str)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
