@@ -1,5 +1,8 @@
+import os
+import shutil
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.llm import licenses as L
@@ -66,6 +69,50 @@ def test_anchors_lose_no_match(spark):
                     assert re.search(model.pattern(), f"{a} {b}"), (name, a, b)
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null ids, one id with different texts, repeated rows, columns with the names that the operator uses."""
+    rows = [(None, "/a/LICENSE", MIT), (1, "/b/LICENSE", MIT), (1, "/c/x", "plain words"), (2, "/a/y", "plain words"), (None, "/b/z", "plain words"), (3, "/d/LICENSE", GPL), (3, "/d/LICENSE", GPL), (None, "/d/LICENSE", MIT), (4, "/d/e/f", None)]
+    docs = spark.createDataFrame([(*r, "z", "z") for r in rows], "doc_id long, path string, text string, row string, dir string").repartition(3)
+    got = sorted(((r.doc_id, r.path, r.licence, r.how, r.from_doc) for r in L.scan(docs, F.col("path"), L.fit(docs)).collect()), key=str)
+    want = [
+        (None, "/a/LICENSE", "MIT", "file", None), (1, "/b/LICENSE", "MIT", "file", 1), (1, "/c/x", None, "none", None), (2, "/a/y", "MIT", "inherited", None), (None, "/b/z", "MIT", "inherited", 1),
+        (3, "/d/LICENSE", "GPL-3.0", "file", 3), (3, "/d/LICENSE", "GPL-3.0", "file", 3), (None, "/d/LICENSE", "MIT", "file", None), (4, "/d/e/f", "GPL-3.0", "inherited", 3),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_spdx_expressions(spark):
+    cases = {
+        "(MIT OR Apache-2.0)": ("MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), "Apache-2.0 OR MIT": ("Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]), "MIT */": ("MIT", ["MIT"]),
+        "GPL-2.0-only WITH Classpath-exception-2.0": ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]), "MIT and more": ("MIT", ["MIT"]), "(MIT": ("MIT", ["MIT"]),
+        "(MIT  AND\t(LGPL-2.1-or-later OR BSD-3-Clause))": ("(MIT AND (LGPL-2.1-or-later OR BSD-3-Clause))", ["BSD-3-Clause", "LGPL-2.1-or-later", "MIT"]), "OR MIT": ("OR", ["OR"]), "": (None, None),
+        "(MIT OR ISC) AND (Zlib OR X11)": ("(MIT OR ISC) AND (Zlib OR X11)", ["ISC", "MIT", "X11", "Zlib"]), "LicenseRef-Own:1": ("LicenseRef-Own:1", ["LicenseRef-Own:1"]),
+    }
+    docs = spark.createDataFrame([(k, f"/d{k}/x", f"code\n// SPDX-License-Identifier: {tag}\nmore") for k, tag in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.licences) for r in L.scan(docs, F.col("path"), L.fit(docs)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{COMMON}/GPL-3"), reason="no licence texts on this machine")
+def test_a_folder_of_full_texts(spark, tmp_path):
+    full = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "Artistic") if os.path.exists(f"{COMMON}/{n}")]
+    for n in full:
+        shutil.copyfile(f"{COMMON}/{n}", tmp_path / f"{n}.txt")
+    templates = {**L.TEMPLATES, **{f"{n}#full": t for n, t in L.texts(spark, str(tmp_path)).items()}}
+    assert len(templates) == len(L.TEMPLATES) + len(full)
+    read = lambda n: open(f"{COMMON}/{n}").read()  # noqa: E731, SIM115
+    rows = [(k, f"/r{k}/COPYING", "Some Project\n\n" + wrapped(read(n), "", 60) if k % 2 else read(n)) for k, n in enumerate(full)]
+    rows += [(100 + k, f"/r{k}/src/a.c", "int main() {}\n") for k in range(len(full))] + [(200, "/other/LICENSE", L.TEMPLATES["MIT#text"]), (201, "/other/prose", "a story about a license and a version of the world " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in L.scan(docs, F.col("path"), L.fit(docs, templates)).collect()}
+    for k, n in enumerate(full):
+        assert got[k] == (n, "file") and got[100 + k] == (n, "inherited")
+    assert got[200] == ("MIT", "file") and got[201] == ("MIT", "inherited")
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, path string, text string")
     assert L.scan(docs, F.col("path"), L.fit(docs)).count() == 0
