@@ -28,6 +28,7 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,9 +130,12 @@ def _summed(delta: DataFrame) -> DataFrame:
 class Store:
     """Totals in a folder that all executors share.
 
-    commits/BATCH holds a batch's delta; once folded, the empty folder stays and keeps the batch known. folded/NAME holds a
-    compaction's sums (sums) and the names of the commits in it (names). live/N names the compaction that counts;
-    the largest N is the pointer."""
+    commits/BATCH holds a batch's delta. folded/NAME holds a compaction's sums (sums) and the names of the commits that it took in (names). live/N names the
+    compaction that counts; the largest N is the pointer. known/BATCH says, once the pointer has moved, that the batch is in a compaction.
+
+    A reader takes what the pointer names and the commits that are not known, and looks at the pointer again once it has listed all files: if it
+    moved, the reader begins anew. Nothing that the pointer or the one before it needs is deleted: a compaction's commits go when the next one counts, its sums when the one
+    after that does. So totals that were planned stay readable through one compaction, and fail aloud after two. What is listed is bounded by the commits of two compactions."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -142,7 +146,7 @@ class Store:
         root = self._fs.makeQualified(self._path(folder))
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf)
         self._plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        for name in ("commits", "folded", "live", "side"):
+        for name in ("commits", "folded", "live", "side", "known"):
             self._fs.mkdirs(self._path(f"{folder}/{name}"))
 
     def _names(self, what: str) -> list[str]:
@@ -161,48 +165,76 @@ class Store:
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Add the batch's delta once; False if a batch of that id was there, folded or not."""
-        target = f"{self.folder}/commits/{quote(batch, safe='')}"
-        if self._fs.exists(self._path(target)):
+        name = quote(batch, safe="")
+        target = f"{self.folder}/commits/{name}"
+        if self._known(name) or self._fs.exists(self._path(target)):
             return False
         side = f"{self.folder}/side/{uuid.uuid4().hex}"
         _summed(delta).write.parquet(side)
-        return self._renamed(side, target)
-
-    def _folded(self) -> str | None:
-        """The folder of the compaction that counts."""
-        pointers = self._names("live")
-        if not pointers:
-            return None
-        stream = self._fs.open(self._path(f"{self.folder}/live/{pointers[-1]}"))
-        try:
-            return f"{self.folder}/folded/{stream.readUTF()}"
-        finally:
-            stream.close()
+        if not self._renamed(side, target):
+            return False
+        if self._known(name):  # folded and gone since the first look; no reader counts what is known
+            self._fs.delete(self._path(target), True)
+            return False
+        return True
+
+    def _known(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/known/{name}"))
+
+    def _generations(self) -> list[tuple[int, str]]:
+        """(number, folder) of the compactions that the pointers name, oldest first. Few: old pointers go with their sums."""
+        out = []
+        for n in self._names("live"):
+            stream = self._fs.open(self._path(f"{self.folder}/live/{n}"))
+            try:
+                out.append((int(n), f"{self.folder}/folded/{stream.readUTF()}"))
+            finally:
+                stream.close()
+        return out
+
+    def _pointer(self) -> str | None:
+        return max(self._names("live"), default=None)
 
     def _open(self, folded: str | None) -> list[str]:
-        """Commits that are not in the compaction. Those of earlier compactions hold no files any more."""
-        done = {r.name for r in self.spark.read.schema("name string").parquet(f"{folded}/names").collect()} if folded else set()
-        return [n for n in self._names("commits") if n not in done and self._files(n)]
+        """Commits that are in no compaction."""
+        done = set(self._taken(folded)) if folded else set()
+        return [n for n in self._names("commits") if n not in done and not self._known(n)]
 
-    def _files(self, commit: str) -> list:
-        return [s.getPath() for s in self._fs.listStatus(self._path(f"{self.folder}/commits/{commit}"))]
+    def _taken(self, folded: str) -> list[str]:
+        """The commits that a compaction took in: those between it and the one before."""
+        return [r.name for r in self.spark.read.schema("name string").parquet(f"{folded}/names").collect()]
 
     def _rows(self, folded: str | None, names: list[str]) -> DataFrame:
+        """Its files are listed here and now, all of them or none."""
         paths = [f"{self.folder}/commits/{n}" for n in names] + ([f"{folded}/sums"] if folded else [])
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
+    def _read(self) -> DataFrame:
+        """All deltas as of one moment."""
+        while True:
+            pointer, rows = self._pointer(), None
+            try:
+                folded = dict((f"{k:012d}", f) for k, f in self._generations()).get(pointer) if pointer else None
+                if folded or not pointer:
+                    rows = self._rows(folded, self._open(folded))
+            except (AnalysisException, Py4JJavaError):  # files of an older compaction went while they were listed
+                if self._pointer() == pointer:
+                    raise
+            if rows is not None and self._pointer() == pointer:
+                return rows
+
     def totals(self) -> DataFrame:
         """Current totals; groups whose documents are all gone drop out."""
-        folded = self._folded()
-        return _summed(self._rows(folded, self._open(folded))).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        return _summed(self._read()).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
 
     def compact(self) -> bool:
         """One compaction in place of the last one and all commits since. A crash at any step changes no total; of two
         maintainers at once one wins. False if there is nothing to fold or the other has won."""
-        folded = self._folded()
+        generations = self._generations()
+        last, folded = generations[-1] if generations else (-1, None)
         if folded:
-            self._clean(folded)
-        names, pointers = self._open(folded), self._names("live")
+            self._settle(generations)
+        names = self._open(folded)
         if not names:
             return False
         new = uuid.uuid4().hex
@@ -212,16 +244,23 @@ class Store:
         stream = self._fs.create(self._path(side), False)
         stream.writeUTF(new)
         stream.close()
-        if not self._renamed(side, f"{self.folder}/live/{len(pointers):012d}"):
+        if not self._renamed(side, f"{self.folder}/live/{last + 1:012d}"):
+            self._fs.delete(self._path(f"{self.folder}/folded/{new}"), True)
             return False
-        self._clean(f"{self.folder}/folded/{new}")
+        self._settle([*generations, (last + 1, f"{self.folder}/folded/{new}")])
         return True
 
-    def _clean(self, folded: str) -> None:
-        """Delete the files of the commits that the compaction holds, and leave their folders."""
-        for r in self.spark.read.schema("name string").parquet(f"{folded}/names").collect():
-            for file in self._files(r.name):
-                self._fs.delete(file, True)
+    def _settle(self, generations: list[tuple[int, str]]) -> None:
+        """Mark the commits of the compaction that counts; delete the commits of the one before it, and the sums of those still before. Each step may be
+        done again by whoever comes next."""
+        for name in self._taken(generations[-1][1]):
+            self._fs.mkdirs(self._path(f"{self.folder}/known/{name}"))
+        if len(generations) > 1:
+            for name in self._taken(generations[-2][1]):
+                self._fs.delete(self._path(f"{self.folder}/commits/{name}"), True)
+        for k, folded in generations[:-2]:
+            self._fs.delete(self._path(folded), True)
+            self._fs.delete(self._path(f"{self.folder}/live/{k:012d}"), False)
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
