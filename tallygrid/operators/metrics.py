@@ -121,12 +121,18 @@ def score_calibration(f: DataFrame, by: list[str] | None = None) -> DataFrame:
     return with_ece(with_ece(confidence_summary(f, by), stats, by), ece(f, F.col("conf"), F.col("correct"), by), by)
 
 
+def yes_position(pos_class: int | None = None) -> Column:
+    """Where a yes/no question's yes stands: the given class, else the option named yes, else option 1."""
+    if pos_class is not None:
+        return M.position_of(F.col("options"), F.lit(pos_class))
+    name = F.transform("option_names", lambda n: F.lower(F.trim(F.split_part(n, F.lit(":"), F.lit(1)))))
+    return F.coalesce(M.position_of(name, F.lit("yes")), M.position_of(F.col("options"), F.lit(1)))
+
+
 def calibration_summary(examples: DataFrame, pos_class: int | None = None) -> dict[str, DataFrame]:
     """Whole-set confidence and each question type's calibration. examples: q, gold, options, option_names, label, qtype."""
     f = features(examples)
-    name = F.transform("option_names", lambda n: F.lower(F.trim(F.split_part(n, F.lit(":"), F.lit(1)))))
-    yes = M.position_of(F.col("options"), F.lit(pos_class)) if pos_class is not None else F.coalesce(M.position_of(name, F.lit("yes")), M.position_of(F.col("options"), F.lit(1)))
-    bools = f.filter("qtype = 'bool'").withColumn("_yes", yes)
+    bools = f.filter("qtype = 'bool'").withColumn("_yes", yes_position(pos_class))
     bools = bools.select(F.get("q", F.col("_yes")).alias("p"), (F.col("label") == F.get("options", F.col("_yes"))).cast("int").alias("y"))
     level = F.array_sort(F.arrays_zip("options", "q"))
     scores = f.filter("qtype = 'score'").withColumn("_sorted", level)
@@ -214,26 +220,50 @@ def pass_consistency(passes: DataFrame) -> DataFrame:
 
 
 def answer_mass_summary(df: DataFrame) -> DataFrame:
-    """m_answer, m_offmenu, top1_in of each question. Percentiles interpolate linearly and are exact; over very many distinct values pass them
-    rounded, as an exact percentile counts distinct values."""
-    return df.agg(F.avg("m_answer").alias("m_answer_mean"), F.percentile("m_answer", F.lit(0.05)).alias("m_answer_p05"), F.percentile("m_answer", F.lit(0.95)).alias("m_answer_p95"), F.avg("m_offmenu").alias("m_offmenu_mean"), share(F.col("top1_in")).alias("top1_in_menu_rate"))
+    """m_answer, m_offmenu, top1_in of each question. Percentiles interpolate linearly and are exact."""
+    stats = df.agg(F.avg("m_answer").alias("m_answer_mean"), F.avg("m_offmenu").alias("m_offmenu_mean"), share(F.col("top1_in")).alias("top1_in_menu_rate"))
+    counts = df.groupBy(F.col("m_answer").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = percentiles(counts, {"m_answer_p05": 0.05, "m_answer_p95": 0.95})
+    return stats.join(cuts).select("m_answer_mean", "m_answer_p05", "m_answer_p95", "m_offmenu_mean", "top1_in_menu_rate")
+
+
+def running(counts: DataFrame, amount: str, name: str = "before", parts: int = 32) -> DataFrame:
+    """counts, a row a distinct value `s`, with the sum of `amount` over all smaller values.
+
+    Values are dealt by ranges, and each range adds what the ranges below it sum to, so no task holds all values. The bounds are kept by the driver, so that a
+    value's range is the same however often a task is run."""
+    bounds = counts.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []
+    ranged = counts.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("s"))) if bounds else F.lit(0))
+    below = ranged.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    start = below.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row a range
+    inner = Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_in", F.coalesce(F.sum(amount).over(inner), F.lit(0))).join(start, "_part")
+    return rows.withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
+def percentiles(counts: DataFrame, at_: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles of counted values (s, n), one column each; nulls are left out, and without a value all are null."""
+    known = counts.filter(F.col("s").isNotNull())
+    every = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    rows = running(known, "n").join(F.broadcast(every))  # one row
+    value = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("s")))
+    cuts = {}
+    for name, p in at_.items():
+        place = (F.col("_all") - 1) * F.lit(p)
+        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))
+        cuts[name] = low + (high - low) * part
+    return rows.agg(*[c.alias(name) for name, c in cuts.items()])
 
 
 def auroc(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """Mann-Whitney with ties at a half, null for one class.
-
-    Scores are counted first; then a running sum over the distinct scores, by ranges: each range adds the negatives of the ranges below, so no task holds
-    all scores."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    # bounds that the driver holds, so that a score's range is the same however often a task is run
-    bounds = counts.agg(F.percentile_approx("s", [k / 32 for k in range(1, 32)], 1000).alias("b")).first()["b"] or []
-    ranged = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("s"))) if bounds else F.lit(0))
-    below = ranged.groupBy("part").agg(F.sum("neg").alias("n"))
-    start = below.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row a range
-    inner = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumn("before", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(start, "part")
-    wins = F.sum(F.col("pos") * (F.col("start") + F.col("before") + F.col("neg") / 2))
-    return rows.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auroc"))
+    """Mann-Whitney with ties at a half, null for one class. Scores are counted first; then a running sum over the distinct scores, by ranges."""
+    return auroc_of(df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
+
+
+def auroc_of(counts: DataFrame) -> DataFrame:
+    """The same from counted scores: s, pos, neg."""
+    wins = F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2))
+    return running(counts, "neg").agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def binary_summary(df: DataFrame) -> DataFrame:
