@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrid.plans import baseline, batches, corpus, custom, evaluation, panel, relational, scoring
+from tallygrid.plans import baseline, batches, corpus, custom, evaluation, panel, relational, scorers, scoring
 
-TABLE = {**scoring.TABLE, **corpus.TABLE, **panel.TABLE, **custom.TABLE, **baseline.TABLE, **relational.TABLE, **evaluation.TABLE, **batches.TABLE}
+TABLE = {**scoring.TABLE, **corpus.TABLE, **panel.TABLE, **custom.TABLE, **baseline.TABLE, **relational.TABLE, **evaluation.TABLE, **batches.TABLE, **scorers.TABLE}
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
 ORACLES = {name: sql for name, (_, sql) in TABLE.items() if sql}
 flagship = scoring.summarize
