@@ -506,7 +506,8 @@ def _by_tokens(large: DataFrame, percent: int) -> DataFrame:
     Partners share ceil(percent * size / 100) shingles of the larger set at least, so in one order for the whole unit the
     first size - ceil(...) + 1 of each hold a common one; the order puts first what is rarest in the unit. Shingles that
     no document apart has, or only one document, are no keys. All counts are partial sums, and no set is sent but as
-    its shingles, once."""
+    its shingles, once. A row that is read twice, by different tasks, counts twice in that order and once in its prefix: any order of the
+    unit does, but a shingle has to have one rank."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -517,9 +518,9 @@ def _by_tokens(large: DataFrame, percent: int) -> DataFrame:
 
     tokens = stage(large.select("hub", "id", "n", "asks", "set").mapInArrow(T.tidy(work), "hub bigint, id bigint, n bigint, asks boolean, token bigint"))
     count = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("documents"), F.max("asks").alias("asked"))
-    rank = F.row_number().over(Window.partitionBy("hub", "id").orderBy("documents", "token"))  # one document's shingles
+    rank = F.dense_rank().over(Window.partitionBy("hub", "id").orderBy("documents", "token"))  # one document's shingles
     first = tokens.join(count, ["hub", "token"]).withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    return stage(first.filter("documents > 1 and asked").select(F.xxhash64("hub", "token").alias("key"), "id", F.lit(0).alias("grp"), F.lit(1).alias("need")))
+    return stage(first.filter("documents > 1 and asked").select(F.xxhash64("hub", "token").alias("key"), "id", F.lit(0).alias("grp"), F.lit(1).alias("need")).distinct())
 
 
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:

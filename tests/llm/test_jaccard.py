@@ -215,3 +215,34 @@ def test_linked_pairs_share_the_keys_they_need(grain):
                 emits = [np.count_nonzero(group == g) == sizes.segments[c] for g in pair]
                 mixed += emits[0] != emits[1]
     assert mixed
+
+
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_rare_shingles_of_rows_that_several_tasks_read(spark, times):
+    """Every two linked sets of a large unit share a key by their rarest shingles, however often their rows are read."""
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(1, 1 << 40, 100)
+    sets = {k: np.sort(np.concatenate([base[: 92 + k % 3], rnd.integers(1 << 41, 1 << 42, 8 - k % 3)])) for k in range(6)}
+    sets[6] = np.sort(rnd.integers(1 << 43, 1 << 44, 40))
+    rows = [(1, k, len(s), bytearray(s.astype("<i8").tobytes()), True) for k, s in sets.items() for _ in range(times)]
+    large = spark.createDataFrame(rows, "hub long, id long, n long, set binary, asks boolean").repartition(4).select("hub", "id", "n", "asks", "set")
+    keys = {}
+    for r in J._by_tokens(large, 85).collect():
+        keys.setdefault(r.id, []).append(r.key)
+    for a in sets:
+        assert len(set(keys.get(a, []))) == len(keys.get(a, []))
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                assert set(keys[a]) & set(keys[b])
+    assert times > 1 or 6 not in keys
+
+
+def test_repeated_rows_in_large_units(spark, monkeypatch):
+    """Families that no hub connects, every row read several times by different tasks."""
+    monkeypatch.setattr(J, "CHUNK", 6)
+    texts = corpus(5)
+    rows = spark.createDataFrame([(d, t) for d, t in texts.items()] * 3, "doc_id long, text string").repartition(6)
+    want = brute(texts, 85, 4)
+    got = J.join(rows).collect()
+    assert len(got) == 3 * len(texts) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
