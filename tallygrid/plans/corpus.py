@@ -69,13 +69,15 @@ def label_names(spark, d):
 
 
 def normalise_question(spark, d):
-    q = F.concat(F.lit("  "), F.substring_index("text", ".", 1), F.lit("?? "))
-    return table(spark, d, "benchmark").select("item_id", X.normalise_question(q).alias("question"), X.humanize(F.concat(F.lit("My_"), F.substring("text", 1, 5), F.lit("?"))).alias("label"))
+    q = F.concat(F.lit("  "), F.col("text"), F.lit("?? "))
+    return table(spark, d, "benchmark").select("item_id", F.md5(X.normalise_question(q)).alias("question"), F.md5(X.humanize(F.concat(F.lit("My_"), F.col("text"), F.lit("?")))).alias("label"))
 
 
 def post_text(spark, d):
-    cap = F.concat(F.lit("cap\\n\\n\\n\\ntion "), F.col("role"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.post_text(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""), cap, 50)).alias("digest"))
+    """Every turn as a post: by its text, and by its caption where the text is missing."""
+    t = table(spark, d, "conversations")
+    marked = F.concat(F.lit("cap\\n\\n\\n\\ntion "), F.col("text"))
+    return t.select("conv_id", "turn", F.md5(X.post_text(F.col("text"), marked)).alias("text"), F.md5(X.post_text(F.lit(""), marked)).alias("caption"))
 
 
 def option_row(spark, d):
@@ -279,6 +281,16 @@ _DONE = "WITH e AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'start' ELSE 'done' E
 _GRP = "WITH g AS (SELECT source AS class, source || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || lang AS group_key, count(*) AS size FROM documents GROUP BY 1, 2), h AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY class ORDER BY sha256('salt:' || group_key) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 6 AS held_out FROM g), tr AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY class ORDER BY sha256('salt:train:' || group_key) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE NOT held_out) "
 _QUOTA = "WITH s AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY lang), x AS (SELECT lang, {n} * n / sum(n) OVER () AS due FROM s), y AS (SELECT lang, due, CAST(floor(due) AS BIGINT) AS got FROM x), z AS (SELECT *, row_number() OVER (ORDER BY got - due, lang) AS r, {n} - sum(got) OVER () AS rest FROM y) SELECT lang, got + CASE WHEN r <= rest THEN 1 ELSE 0 END AS {c} FROM z"
 
+_CAP = "'cap' || chr(10) || chr(10) || chr(10) || chr(10) || 'tion ' || replace(text, chr(92) || 'n', chr(10))"
+
+
+def _tidied(s: str) -> str:
+    """DuckDB: blanks to one, lines stripped, one empty line at most, the text stripped."""
+    for pattern, by in ((r"[ \t]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+        s = f"regexp_replace({s}, '{pattern}', {by}, 'g')"
+    return s
+
+
 TABLE = {
     "tidy_text": (tidy_text, f"WITH t AS (SELECT page_id, {_TIDY} AS t FROM pages) SELECT page_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM t"),
     "garbled_filter": (garbled_filter, "WITH t AS (SELECT lang, (length(text) - length(replace(replace(text, 'é', ''), 'ñ', ''))) / CAST(length(text) AS DOUBLE) AS g FROM documents) SELECT lang, count(*) AS n, count(*) FILTER (g <= 0.01::DOUBLE) AS kept, round(avg(g), 6) AS garbled FROM t GROUP BY lang"),
@@ -287,8 +299,8 @@ TABLE = {
     "class_ids": (class_ids, "SELECT source AS name, CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS class_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)"),
     "with_class": (with_class, "SELECT CAST(k AS INT) AS class_id, count(*) AS n FROM (SELECT dense_rank() OVER (ORDER BY source) - 1 AS k FROM documents) GROUP BY k"),
     "label_names": (label_names, "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS class_id, source AS name, source || ': about ' || min(lang) AS row FROM documents GROUP BY source"),
-    "normalise_question": (normalise_question, r"SELECT item_id, regexp_replace(trim('  ' || split_part(text, '.', 1) || '?? '), '\?+$', '') || '?' AS question, lower(trim(regexp_replace(replace('My_' || substring(text, 1, 5) || '?', '_', ' '), '\?+$', ''))) AS label FROM benchmark"),
-    "post_text": (post_text, r"WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'cap' || chr(10) || chr(10) || 'tion ' || role END AS s FROM conversations), u AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS s FROM t) SELECT conv_id, turn, md5(regexp_replace(substring(s, 1, 50), '^\s+|\s+$', '', 'g')) AS digest FROM u"),
+    "normalise_question": (normalise_question, r"SELECT item_id, md5(regexp_replace(trim('  ' || text || '?? '), '\?+$', '') || '?') AS question, md5(lower(trim(regexp_replace(replace('My_' || text || '?', '_', ' '), '\?+$', '')))) AS label FROM benchmark"),
+    "post_text": (post_text, f"WITH t AS (SELECT conv_id, turn, unnest(['text', 'caption']) AS kind, unnest([CASE WHEN text <> '' THEN replace(text, chr(92) || 'n', chr(10)) ELSE {_CAP} END, {_CAP}]) AS s FROM conversations), u AS (SELECT conv_id, turn, kind, {_tidied('s')} AS s FROM t), v AS (SELECT conv_id, turn, kind, md5({_tidied('substring(s, 1, 2000)')}) AS h FROM u) SELECT conv_id, turn, max(CASE WHEN kind = 'text' THEN h END) AS text, max(CASE WHEN kind = 'caption' THEN h END) AS caption FROM v GROUP BY conv_id, turn"),
     "option_row": (option_row, r"SELECT doc_id, md5(CASE WHEN lang <> 'en' THEN source || ': ' || regexp_replace(text, '\s*[\r\n]+\s*', ' ', 'g') ELSE source END) AS digest FROM documents"),
     "prompt_context_first": (prompt_context_first, "SELECT vec_id AS row_id, 'Message: vector ' || CAST(vec_id AS VARCHAR) || chr(10) || chr(10) || 'Question (<|choice|>): Which option best describes the message?' || chr(10) || 'Options:' || chr(10) || (SELECT string_agg('<|D' || CAST(i AS VARCHAR) || '|>. class ' || CAST(i AS VARCHAR), chr(10) ORDER BY i) FROM (SELECT unnest(range(0, 10)) AS i)) || chr(10) || chr(10) || 'Answer:' AS prompt FROM embeddings"),
     "history_before_turn": (history_before_turn, "WITH h AS (SELECT a.conv_id, a.turn, count(b.turn) AS n, coalesce(string_agg(b.role || ':' || b.text, '|' ORDER BY b.turn), '') AS s FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn) SELECT conv_id, turn, CAST(n AS INT) AS n, md5(s) AS digest FROM h"),
