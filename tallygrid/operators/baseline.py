@@ -163,8 +163,13 @@ def branch_limit(prefix: Column, width: Column, budget: Column) -> Column:
 
 def shared_prefix(prefix: Column, branches: Column) -> Column:
     """struct(length, suffixes): the longest run of tokens that the prefix and all branches start with, one token at least left to
-    each branch. A branch without tokens fails the query."""
-    common = lambda seq: F.coalesce(F.get(F.filter(F.transform(F.sequence(F.lit(0), F.size(prefix)), lambda i: F.when(~F.get(prefix, i).eqNullSafe(F.get(seq, i)) | (i == F.size(prefix)), i)), lambda i: i.isNotNull()), 0), F.lit(0))
-    empty = F.exists(branches, lambda seq: F.size(seq) == 0)
-    length = F.when(empty, F.raise_error(F.lit("a branch without tokens")).cast("int")).otherwise(F.array_min(F.transform(branches, lambda seq: F.least(common(seq), F.size(seq) - 1))))
-    return M.let(length, lambda n: F.struct(n.alias("length"), F.transform(branches, lambda seq: F.slice(seq, n + 1, F.size(seq))).alias("suffixes")))
+    each branch. A branch without tokens fails the query. Both arrays are bound once, so the work is in proportion to their tokens."""
+
+    def split(p: Column, every: Column) -> Column:
+        differs = lambda seq: F.transform(p, lambda x, i: F.when(~x.eqNullSafe(F.get(seq, i)), i))
+        common = lambda seq: F.coalesce(F.array_min(differs(seq)), F.size(p))
+        empty = F.exists(every, lambda seq: F.size(seq) == 0)
+        length = F.when(empty, F.raise_error(F.lit("a branch without tokens")).cast("int")).otherwise(F.array_min(F.transform(every, lambda seq: F.least(common(seq), F.size(seq) - 1))))
+        return M.let(length, lambda n: F.struct(n.alias("length"), F.transform(every, lambda seq: F.slice(seq, n + 1, F.size(seq))).alias("suffixes")))
+
+    return M.let(prefix, lambda p: M.let(branches, lambda every: split(p, every)))

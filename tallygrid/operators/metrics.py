@@ -310,14 +310,13 @@ def fit_temperature(scores: DataFrame, lo: float = 0.05, hi: float = 20.0, point
     import math
 
     def losses(ts: list[float]) -> list[float]:
-        # a narrow row for each temperature, summed before the shuffle to a group each
+        # a narrow row for each temperature, summed before the shuffle to a group each; the logarithms cost more than these rows, and one aggregate of 200 columns was slower
         each = F.transform(F.array(*map(F.lit, ts)), lambda t: M.log_sum_exp(F.transform("z", lambda x: x / t)) - F.get("z", F.col("gold")) / t)
         found = scores.select(F.posexplode(each).alias("k", "l")).groupBy("k").agg(F.avg("l").alias("l")).collect()
         return [r.l for r in sorted(found)]
 
     grid = [math.exp(math.log(lo) + k * (math.log(hi) - math.log(lo)) / (points - 1)) for k in range(points)]
-    found: list[float] = []
-    found += losses(grid)
+    found = losses(grid)
     best = min(range(points), key=found.__getitem__)
     a, b = math.log(grid[max(best - 1, 0)]), math.log(grid[min(best + 1, points - 1)])
     for _ in range(max(1, rounds // 12)):  # each scan narrows eightfold, more than four golden sections do

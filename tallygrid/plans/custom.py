@@ -8,6 +8,7 @@ from tallygrid.functions import assets as A
 from tallygrid.functions import text as X
 from tallygrid.operators import selection as S
 from tallygrid.plans.base import scored
+from tallygrid.plans.corpus import _tidied
 from tallygrid.sources import adapters, readers
 from tallygrid.sources.readers import table
 
@@ -69,9 +70,7 @@ def hierarchical_draws(spark, d):
 
 
 def balanced_codes(spark, d):
-    rows = scored(spark, d).select(F.col("row_id").alias("row_no"), F.size("options").alias("k"), F.lit(0).alias("run"))
-    work = S.balanced_codes(0.5, "seed")
-    return rows.groupBy("run").applyInPandas(lambda pdf: work(pdf), "row_no bigint, codes array<int>")
+    return S.balanced_runs(scored(spark, d).select(F.col("row_id").alias("row_no"), F.size("options").alias("k")), 0.5, "seed", 100)
 
 
 def asset_resolve(spark, d):
@@ -103,7 +102,7 @@ SELECT event_id, 5 AS n, s1 || '-' || e1 || ',' || s2 || '-' || e2 || ',' || (e2
 
 TABLE = {
     "html_text": (html_text, None),
-    "email_text": (email_text, None),
+    "email_text": (email_text, f"WITH t AS (SELECT conv_id, turn, role, {_tidied('text')} AS s FROM conversations) SELECT conv_id, turn, md5('Subject: ' || role || CASE WHEN s = '' THEN '' ELSE chr(10) || chr(10) || regexp_replace(substring(s, 1, 2000), '\\s+$', '') END) AS digest FROM t"),
     "mysqldump_rows": (mysqldump_rows, "SELECT doc_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS missing, n_chars FROM documents"),
     "state_text": (state_text, None),
     "key_spans": (key_spans, _SPANS),

@@ -2,6 +2,7 @@ import math
 import random
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,18 @@ def test_companions(spark):
     assert long(False) == [(0, 0, 1), (1, 0, 3), (1, 1, 1), (2, 0, 4)] and long(True) == [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 1), (2, 0, 4)]
 
 
+def test_balanced_runs(spark):
+    rows = spark.createDataFrame([(k, 3 + k % 2) for k in range(250)], "row_no long, k int").repartition(3)
+    got = {r.row_no: r.codes for r in S.balanced_runs(rows, 0.5, "s", 100).collect()}
+    assert got.keys() == set(range(250))
+    for lo in (0, 100, 200):
+        pdf = pd.DataFrame({"row_no": range(lo, min(lo + 100, 250))})
+        want = S.balanced_codes(0.5, "s")(pdf.assign(k=3 + pdf["row_no"] % 2))
+        assert {r: got[r] for r in pdf["row_no"]} == dict(zip(want["row_no"], want["codes"], strict=True))
+    with pytest.raises(Exception, match="more than 100"):
+        S.balanced_runs(rows.unionByName(rows), 0.5, "s", 100).collect()
+
+
 def test_balanced_codes_even_out():
     import pandas as pd
 
