@@ -27,7 +27,7 @@ def config_diff(spark, d):
 def pair_links(spark, d):
     """Customers in tens; an odd one is the other half of the one before it."""
     key = F.col("c_custkey")
-    rows = table(spark, d, "customer").select(F.floor(key / 10).alias("ten"), key.alias("key"), F.when((key % 2 == 1) & (key > 1), key - 1).alias("other_of"))
+    rows = table(spark, d, "customer").select(F.floor(key / 10).alias("ten"), key.alias("key"), F.when(key % 2 == 1, key - 1).alias("other_of"))
     return S.link_pairs(rows, ["ten"]).select("ten", "key", "pair")
 
 
@@ -36,5 +36,5 @@ TABLE = {
     "config_diff": (config_diff, """SELECT event_id, '$.user' AS path, 'retyped' AS difference, CAST(user_id AS VARCHAR) AS old, CASE WHEN event_id % 3 = 0 THEN '"' || user_id || '"' ELSE '"u"' END AS new FROM events
 UNION ALL SELECT event_id, '$.event.type', 'changed', '"' || event_type || '"', '"' || event_type || '?"' FROM events WHERE event_id % 2 <> 0
 UNION ALL SELECT event_id, '$.event.ids[1]', 'missing', CAST(user_id AS VARCHAR), NULL FROM events UNION ALL SELECT event_id, '$.seed', 'added', NULL, CAST(event_id AS VARCHAR) FROM events"""),
-    "pair_links": (pair_links, "SELECT c_custkey // 10 AS ten, c_custkey AS key, CASE WHEN c_custkey % 2 = 1 THEN nullif(c_custkey - 1, 0) WHEN c_custkey < (SELECT max(c_custkey) FROM customer) THEN c_custkey + 1 END AS pair FROM customer"),
+    "pair_links": (pair_links, "SELECT c_custkey // 10 AS ten, c_custkey AS key, CASE WHEN c_custkey % 2 = 1 THEN c_custkey - 1 WHEN c_custkey < (SELECT max(c_custkey) FROM customer) THEN c_custkey + 1 END AS pair FROM customer"),
 }
