@@ -44,6 +44,19 @@ def test_manifest(spark, tmp_path):
             R.manifest(spark, str(tmp_path / "m.json"))
 
 
+def test_folders_are_verified_by_their_paths(spark, tmp_path):
+    """Equal names in subfolders are files of their own."""
+    folder, want = tmp_path / "t", {}
+    for k, name in enumerate(("x", "one/x", "two/x")):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(bytes([k]))
+        want[name] = hashlib.sha256(bytes([k])).hexdigest()
+    assert R.verified(spark, {"path": str(folder), "sha256": want})
+    for wrong in (want | {"two/x": want["x"]}, want | {"three/x": want["x"]}, {k: v for k, v in want.items() if k != "x"}, want["x"]):
+        with pytest.raises(ValueError, match="sha256 is"):
+            R.verified(spark, {"path": str(folder), "sha256": wrong})
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "t" / "sub").mkdir(parents=True)
     (tmp_path / "t" / "a").write_bytes(b"1")
