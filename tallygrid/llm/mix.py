@@ -9,7 +9,8 @@ grows with the root of a document's words (PREFER: a longer text gives more cont
 given, a constant for equal shares). kappa follows from the table of distinct (source, size), whose rows a source are fewer than the root of twice its words.
 The whole part of the expected copies is certain. The rest is an inclusion probability p, unequal over documents, for one copy more: a
 document ranks by (u / (1 - u)) / (p / (1 - p)), u a hash of its id, source and size, and the sample is of a fixed size in words, as targets are: documents
-in rank order as long as they fit into what the certain copies leave of the target, then the one of the others whose words come nearest to the gap, if it makes it smaller.
+in rank order as long as they fit into what the certain copies leave of the target, then of the others the longest that fits into the gap, or, where none does, the one that comes nearest to it, if it makes it smaller. Where a thousandth of the target is still open, as in
+a source of few documents, others follow in the same way, CLOSINGS at most.
 
 The place where a source's sample ends is found by range-dealt ranks: each range's words are summed, and only the range in which the target is
 reached is ordered, so a source with a third of all rows is in no task as a whole. What joins the documents is a row a source.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tallygrid.llm.staging import small, stage
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix"
+#: Documents beyond the first that close a source's gap, and the part of the target below which none is looked for.
+CLOSINGS, OPEN = 8, 1000
 #: Words between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a row of the table by source, its name not counted beyond 200 bytes.
@@ -107,8 +110,8 @@ def _ranked(rows: DataFrame, prefer: Callable[[Column], Column], cap: int) -> Da
 
 
 def ends(drawn: DataFrame) -> DataFrame:
-    """For sources with a sample: `stop`, the rank from which on documents no longer follow in order, and `closing`, that of the one taken beyond it (either may be
-    null). drawn: source, rank, rest, words, a row a source and rank."""
+    """For sources whose sample ends before its last document: `stop`, the rank from which on documents no longer follow in order, and `closing`, the ranks of those taken beyond it. drawn: source, rank, rest, target, words, a row
+    a source and rank."""
     parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stage(drawn.repartitionByRange(parts, "source", "rank").withColumn("part", F.spark_partition_id()))
     totals = dealt.groupBy("source", "part", "rest").agg(F.sum("words").alias("words"))
@@ -118,12 +121,22 @@ def ends(drawn: DataFrame) -> DataFrame:
     inside = dealt.join(small(stage(last, light=True), _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_part")))
     order = Window.partitionBy("source", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = inside.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(order), F.lit(0)))
-    stop = placed.filter("before <= rest and rest < before + words").select(F.col("source").alias("_of"), F.col("rank").alias("stop"), (F.col("rest") - F.col("before")).alias("gap"))
-    stop = stage(stop, light=True)
-    others = dealt.join(small(stop, _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_of"))).filter("rank >= stop")
-    away = F.abs(F.col("words") - F.col("gap"))
-    closing = others.groupBy("source", "stop").agg(F.min(F.when(away < F.col("gap"), F.struct(away.alias("away"), "rank"))).alias("c"))
-    return stage(closing.select("source", "stop", F.col("c.rank").alias("closing")), light=True)
+    stop = placed.filter("before <= rest and rest < before + words")
+    state = stage(stop.select("source", F.col("target").alias("goal"), F.col("rank").alias("stop"), (F.col("rest") - F.col("before")).alias("gap"), F.array().cast("array<double>").alias("closing")), light=True)
+    for k in range(CLOSINGS):
+        open_ = state.filter(F.col("gap") > (F.col("goal") / OPEN if k else 0)).withColumnRenamed("source", "_of")
+        if open_.isEmpty():
+            break
+        others = dealt.join(small(open_, _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_of"))).filter((F.col("rank") >= F.col("stop")) & ~F.array_contains("closing", F.col("rank")))
+        away = F.abs(F.col("words") - F.col("gap"))
+        near = others.groupBy(F.col("source").alias("_of")).agg(F.min(F.when(away < F.col("gap"), F.struct((F.col("words") > F.col("gap")).alias("over"), away.alias("away"), "rank", "words"))).alias("c")).filter("c is not null")
+        joined = state.join(near, F.col("source").eqNullSafe(F.col("_of")), "left")
+        found = F.col("c").isNotNull()
+        state = stage(joined.select("source", "goal", "stop", F.when(found, F.col("gap") - F.col("c.words")).otherwise(F.col("gap")).alias("gap"), F.when(found, F.concat("closing", F.array("c.rank"))).otherwise(F.col("closing")).alias("closing"), found.alias("moved")), light=True)
+        if state.filter("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    return state.select("source", "stop", "closing")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, prefer: Callable[[Column], Column] = PREFER, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -135,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, pre
 def _solved(rows: DataFrame, weights: tuple[int, ...], cap: int, prefer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     by_source = plan(rows, weights, cap, prefer)
     ranked = _ranked(_of_source(rows, small(by_source, _SOURCE_BYTES)), prefer, cap).filter("rank is not null")
-    return by_source, ends(ranked.groupBy("source", "rank", "rest").agg(F.sum("size").alias("words")))
+    return by_source, ends(ranked.groupBy("source", "rank", "rest", "target").agg(F.sum("size").alias("words")))
 
 
 def _copied(rows: DataFrame, by_source: DataFrame, sample: DataFrame, cap: int, prefer: Callable[[Column], Column]) -> DataFrame:
@@ -143,7 +156,7 @@ def _copied(rows: DataFrame, by_source: DataFrame, sample: DataFrame, cap: int,
     ranked = _ranked(_of_source(rows, small(by_source, _SOURCE_BYTES)), prefer, cap)
     side = small(sample, _SOURCE_BYTES).withColumnRenamed("source", "_of")
     known = ranked.join(side, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    more = F.col("rank").isNotNull() & (F.col("stop").isNull() | (F.col("rank") < F.col("stop")) | F.coalesce(F.col("rank") == F.col("closing"), F.lit(False)))
+    more = F.col("rank").isNotNull() & (F.col("stop").isNull() | (F.col("rank") < F.col("stop")) | F.array_contains("closing", F.col("rank")))
     return known.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + more.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
@@ -161,6 +174,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _closings() -> str:
+    rounds = []
+    for k in range(CLOSINGS):
+        near = f"SELECT b.source, b.rk, b.words, row_number() OVER (PARTITION BY b.source ORDER BY b.words > h.gap, abs(b.words - h.gap), b.rk) AS place FROM b JOIN h{k} h ON b.source IS NOT DISTINCT FROM h.source WHERE b.rk >= h.stop AND NOT list_contains(h.closing, b.rk) AND h.gap > {f'h.goal / {OPEN}' if k else 0} AND abs(b.words - h.gap) < h.gap"
+        rounds.append(f"h{k + 1} AS MATERIALIZED (SELECT h.source, h.goal, h.stop, CASE WHEN x.rk IS NULL THEN h.gap ELSE h.gap - x.words END AS gap, CASE WHEN x.rk IS NULL THEN h.closing ELSE list_append(h.closing, x.rk) END AS closing FROM h{k} h LEFT JOIN ({near}) x ON h.source IS NOT DISTINCT FROM x.source AND x.place = 1)")
+    return ",\n".join(rounds)
+
+
 SQL = rf"""
 WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 d AS (SELECT *, (CAST('0x' || md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), CAST(size AS VARCHAR)))[1:13] AS BIGINT) + 0.5) / CAST({1 << 52} AS DOUBLE) AS u,
@@ -179,11 +200,11 @@ q AS (SELECT source, arg_min(kappa, k) AS kappa FROM g WHERE kappa * p <= {CAP}
 r AS (SELECT g.source, any_value(g.target) - CAST(sum(floor(least(q.kappa * g.p, CAST({CAP} AS DOUBLE))) * g.words) AS DOUBLE) AS rest FROM g LEFT JOIN q ON g.source IS NOT DISTINCT FROM q.source GROUP BY g.source),
 m AS (SELECT d.*, t.source_size, t.target, r.rest, least(q.kappa * d.p, CAST({CAP} AS DOUBLE)) AS m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 n AS (SELECT *, CASE WHEN m - floor(m) > 0 AND size > 0 THEN (u / (1 - u)) * ((1 - (m - floor(m))) / (m - floor(m))) END AS rk FROM m),
-b AS (SELECT source, rk, rest, sum(size) AS words FROM n WHERE rk IS NOT NULL GROUP BY source, rk, rest),
+b AS MATERIALIZED (SELECT source, rk, rest, target, sum(size) AS words FROM n WHERE rk IS NOT NULL GROUP BY source, rk, rest, target),
 e AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
-h AS (SELECT source, rk AS stop, rest - before AS gap FROM e WHERE before <= rest AND rest < before + words),
-x AS (SELECT source, rk FROM (SELECT b.source, b.rk, row_number() OVER (PARTITION BY b.source ORDER BY abs(b.words - h.gap), b.rk) AS place FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE b.rk >= h.stop AND abs(b.words - h.gap) < h.gap) WHERE place = 1),
-k AS (SELECT n.*, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(m) AS BIGINT) + CASE WHEN n.rk IS NOT NULL AND (h.stop IS NULL OR n.rk < h.stop OR coalesce(n.rk = x.rk, false)) THEN 1 ELSE 0 END END AS copies
-  FROM n LEFT JOIN h ON n.source IS NOT DISTINCT FROM h.source LEFT JOIN x ON n.source IS NOT DISTINCT FROM x.source)
+h0 AS MATERIALIZED (SELECT source, target AS goal, rk AS stop, rest - before AS gap, CAST([] AS DOUBLE[]) AS closing FROM e WHERE before <= rest AND rest < before + words),
+{_closings()},
+k AS (SELECT n.*, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(m) AS BIGINT) + CASE WHEN n.rk IS NOT NULL AND (h.stop IS NULL OR n.rk < h.stop OR list_contains(h.closing, n.rk)) THEN 1 ELSE 0 END END AS copies
+  FROM n LEFT JOIN h{CLOSINGS} h ON n.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM k
 """
