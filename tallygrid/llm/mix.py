@@ -9,7 +9,8 @@ grows with the root of a document's words (PREFER: a longer text gives more cont
 given, a constant for equal shares). kappa follows from the table of distinct (source, size), whose rows a source are fewer than the root of twice its words.
 The whole part of the expected copies is certain. The rest is an inclusion probability p, unequal over documents, for one copy more: a
 document ranks by (u / (1 - u)) / (p / (1 - p)), u a hash of its id, source and size, and the sample is of a fixed size in words, as targets are: documents
-in rank order as long as they fit into what the certain copies leave of the target, then the one of the others whose words come nearest to the gap, if it makes it smaller.
+in rank order as long as they fit into what the certain copies leave of the target. One that does not fit is passed over and the order goes on, PASSES times at most and while more than a thousandth of the target is open; last comes the
+one of the others whose words are nearest to the gap, if it makes it smaller.
 
 The place where a source's sample ends is found by range-dealt ranks: each range's words are summed, and only the range in which the target is
 reached is ordered, so a source with a third of all rows is in no task as a whole. What joins the documents is a row a source.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tallygrid.llm.staging import small, stage
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix"
+#: Documents that are passed over, and the part of a target below which none is.
+PASSES, OPEN = 4, 1000
 #: Words between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a row of the table by source, its name not counted beyond 200 bytes.
@@ -107,23 +110,41 @@ def _ranked(rows: DataFrame, prefer: Callable[[Column], Column], cap: int) -> Da
 
 
 def ends(drawn: DataFrame) -> DataFrame:
-    """For sources with a sample: `stop`, the rank from which on documents no longer follow in order, and `closing`, that of the one taken beyond it (either may be
-    null). drawn: source, rank, rest, words, a row a source and rank."""
+    """For each source of `drawn`: `stop`, the rank from which on documents no longer follow in order, `passed`, the ranks before it that were passed over, and `closing`, that of the one taken beyond the order (may
+    be null). drawn: source, rank, rest, target, words, a row a source and rank.
+
+    To pass a document over is to have its words more to fill, so each turn looks for the place of a larger sum among the same running sums."""
     parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stage(drawn.repartitionByRange(parts, "source", "rank").withColumn("part", F.spark_partition_id()))
-    totals = dealt.groupBy("source", "part", "rest").agg(F.sum("words").alias("words"))
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = totals.withColumn("start", F.coalesce(F.sum("words").over(by_part), F.lit(0)))
-    last = starts.filter("start <= rest and rest < start + words").select(F.col("source").alias("_s"), F.col("part").alias("_part"), "start")
-    inside = dealt.join(small(stage(last, light=True), _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_part")))
+    totals = dealt.groupBy("source", "part", "rest", "target").agg(F.sum("words").alias("words"))
+    starts = stage(totals.withColumn("start", F.coalesce(F.sum("words").over(by_part), F.lit(0))), light=True)
     order = Window.partitionBy("source", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    placed = inside.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(order), F.lit(0)))
-    stop = placed.filter("before <= rest and rest < before + words").select(F.col("source").alias("_of"), F.col("rank").alias("stop"), (F.col("rest") - F.col("before")).alias("gap"))
-    stop = stage(stop, light=True)
-    others = dealt.join(small(stop, _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_of"))).filter("rank >= stop")
+    no = F.lit(None).cast("double")
+    state = starts.groupBy(F.col("source").alias("_of"), "target").agg(F.first("rest").alias("fill"))
+    state = stage(state.select("_of", "target", "fill", no.alias("stop"), no.alias("gap"), F.array().cast("array<double>").alias("passed")), light=True)
+    for _ in range(PASSES + 1):
+        # where the sum that is to be filled ends: the range, and in it the document
+        going = state.filter(F.col("stop").isNull())
+        if going.isEmpty():
+            break
+        at = starts.join(small(going.select("_of", "fill"), _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_of"))).filter("start <= fill and fill < start + words")
+        at = stage(at.select(F.col("source").alias("_s"), F.col("part").alias("_part"), "start", "fill"), light=True)
+        inside = dealt.join(small(at, _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_part")))
+        placed = inside.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+        found = placed.filter("before <= fill and fill < before + words").select(F.col("source").alias("_f"), F.col("rank").alias("_rank"), F.col("words").alias("_words"), (F.col("fill") - F.col("before")).alias("_gap"))
+        joined = state.join(found, F.col("_of").eqNullSafe(F.col("_f")), "left")
+        goes_on = F.coalesce((F.col("_gap") > F.col("target") / OPEN) & (F.size("passed") < PASSES), F.lit(False))
+        # at the end of the order all that is left is taken: a stop beyond every rank
+        ended = F.col("stop").isNull() & ~goes_on
+        stop = F.when(ended, F.coalesce("_rank", F.lit(float("inf")))).otherwise(F.col("stop"))
+        gap = F.when(ended, F.coalesce("_gap", F.lit(0.0))).otherwise(F.col("gap"))
+        fill, passed = F.when(goes_on, F.col("fill") + F.col("_words")).otherwise(F.col("fill")), F.when(goes_on, F.concat("passed", F.array("_rank"))).otherwise(F.col("passed"))
+        state = stage(joined.select("_of", "target", fill.alias("fill"), stop.alias("stop"), gap.alias("gap"), passed.alias("passed")), light=True)
+    others = dealt.join(small(state.filter("gap > 0").select("_of", "stop", "gap", "passed"), _SOURCE_BYTES), F.col("source").eqNullSafe(F.col("_of"))).filter((F.col("rank") >= F.col("stop")) | F.array_contains("passed", F.col("rank")))
     away = F.abs(F.col("words") - F.col("gap"))
-    closing = others.groupBy("source", "stop").agg(F.min(F.when(away < F.col("gap"), F.struct(away.alias("away"), "rank"))).alias("c"))
-    return stage(closing.select("source", "stop", F.col("c.rank").alias("closing")), light=True)
+    near = others.groupBy(F.col("source").alias("_f")).agg(F.min(F.when(away < F.col("gap"), F.struct(away.alias("away"), "rank"))).alias("c"))
+    return stage(state.join(near, F.col("_of").eqNullSafe(F.col("_f")), "left").select(F.col("_of").alias("source"), "stop", "passed", F.col("c.rank").alias("closing")), light=True)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, prefer: Callable[[Column], Column] = PREFER, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -135,15 +156,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, pre
 def _solved(rows: DataFrame, weights: tuple[int, ...], cap: int, prefer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     by_source = plan(rows, weights, cap, prefer)
     ranked = _ranked(_of_source(rows, small(by_source, _SOURCE_BYTES)), prefer, cap).filter("rank is not null")
-    return by_source, ends(ranked.groupBy("source", "rank", "rest").agg(F.sum("size").alias("words")))
+    return by_source, ends(ranked.groupBy("source", "rank", "rest", "target").agg(F.sum("size").alias("words")))
 
 
 def _copied(rows: DataFrame, by_source: DataFrame, sample: DataFrame, cap: int, prefer: Callable[[Column], Column]) -> DataFrame:
-    """rows with `copies`. A source without an end has its whole sample taken."""
+    """rows with `copies`."""
     ranked = _ranked(_of_source(rows, small(by_source, _SOURCE_BYTES)), prefer, cap)
     side = small(sample, _SOURCE_BYTES).withColumnRenamed("source", "_of")
     known = ranked.join(side, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    more = F.col("rank").isNotNull() & (F.col("stop").isNull() | (F.col("rank") < F.col("stop")) | F.coalesce(F.col("rank") == F.col("closing"), F.lit(False)))
+    in_order = (F.col("rank") < F.col("stop")) & ~F.array_contains("passed", F.col("rank"))
+    more = F.coalesce(in_order, F.lit(False)) | F.coalesce(F.col("rank") == F.col("closing"), F.lit(False))
     return known.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + more.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
@@ -161,6 +183,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _passes() -> str:
+    turns = []
+    for k in range(PASSES + 1):
+        goes_on = f"coalesce(e.fill_ - e.before > h.goal / {OPEN} AND len(h.passed) < {PASSES}, false)"
+        at = f"SELECT e.*, h.fill AS fill_ FROM e JOIN h{k} h ON e.source IS NOT DISTINCT FROM h.source WHERE h.stop IS NULL AND e.before <= h.fill AND h.fill < e.before + e.words"
+        turns.append(
+            f"h{k + 1} AS MATERIALIZED (SELECT h.source, h.goal, CASE WHEN {goes_on} THEN h.fill + e.words ELSE h.fill END AS fill, CASE WHEN h.stop IS NULL AND NOT {goes_on} THEN coalesce(e.rk, CAST('inf' AS DOUBLE)) ELSE h.stop END AS stop, "
+            f"CASE WHEN h.stop IS NULL AND NOT {goes_on} THEN coalesce(e.fill_ - e.before, 0) ELSE h.gap END AS gap, CASE WHEN {goes_on} THEN list_append(h.passed, e.rk) ELSE h.passed END AS passed FROM h{k} h LEFT JOIN ({at}) e ON h.source IS NOT DISTINCT FROM e.source)"
+        )
+    return ",\n".join(turns)
+
+
 SQL = rf"""
 WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 d AS (SELECT *, (CAST('0x' || md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), CAST(size AS VARCHAR)))[1:13] AS BIGINT) + 0.5) / CAST({1 << 52} AS DOUBLE) AS u,
@@ -179,11 +213,13 @@ q AS (SELECT source, arg_min(kappa, k) AS kappa FROM g WHERE kappa * p <= {CAP}
 r AS (SELECT g.source, any_value(g.target) - CAST(sum(floor(least(q.kappa * g.p, CAST({CAP} AS DOUBLE))) * g.words) AS DOUBLE) AS rest FROM g LEFT JOIN q ON g.source IS NOT DISTINCT FROM q.source GROUP BY g.source),
 m AS (SELECT d.*, t.source_size, t.target, r.rest, least(q.kappa * d.p, CAST({CAP} AS DOUBLE)) AS m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 n AS (SELECT *, CASE WHEN m - floor(m) > 0 AND size > 0 THEN (u / (1 - u)) * ((1 - (m - floor(m))) / (m - floor(m))) END AS rk FROM m),
-b AS (SELECT source, rk, rest, sum(size) AS words FROM n WHERE rk IS NOT NULL GROUP BY source, rk, rest),
-e AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
-h AS (SELECT source, rk AS stop, rest - before AS gap FROM e WHERE before <= rest AND rest < before + words),
-x AS (SELECT source, rk FROM (SELECT b.source, b.rk, row_number() OVER (PARTITION BY b.source ORDER BY abs(b.words - h.gap), b.rk) AS place FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE b.rk >= h.stop AND abs(b.words - h.gap) < h.gap) WHERE place = 1),
-k AS (SELECT n.*, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(m) AS BIGINT) + CASE WHEN n.rk IS NOT NULL AND (h.stop IS NULL OR n.rk < h.stop OR coalesce(n.rk = x.rk, false)) THEN 1 ELSE 0 END END AS copies
+b AS MATERIALIZED (SELECT source, rk, rest, target, sum(size) AS words FROM n WHERE rk IS NOT NULL GROUP BY source, rk, rest, target),
+e AS MATERIALIZED (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+h0 AS MATERIALIZED (SELECT source, any_value(target) AS goal, any_value(rest) AS fill, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS gap, CAST([] AS DOUBLE[]) AS passed FROM b GROUP BY source),
+{_passes()},
+h AS (SELECT * FROM h{PASSES + 1}),
+x AS (SELECT source, rk FROM (SELECT b.source, b.rk, row_number() OVER (PARTITION BY b.source ORDER BY abs(b.words - h.gap), b.rk) AS place FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE h.gap > 0 AND (b.rk >= h.stop OR list_contains(h.passed, b.rk)) AND abs(b.words - h.gap) < h.gap) WHERE place = 1),
+k AS (SELECT n.*, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(m) AS BIGINT) + CASE WHEN n.rk IS NOT NULL AND (coalesce(n.rk < h.stop AND NOT list_contains(h.passed, n.rk), false) OR coalesce(n.rk = x.rk, false)) THEN 1 ELSE 0 END END AS copies
   FROM n LEFT JOIN h ON n.source IS NOT DISTINCT FROM h.source LEFT JOIN x ON n.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM k
 """
