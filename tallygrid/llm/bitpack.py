@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .staging import small_batches, stage
+from .staging import GROUP_BYTES, small_batches, stage
 
 MAGIC = b"PACKIDS1"
 #: Ids of a block, and (about) of a file.
@@ -223,7 +223,7 @@ def write_files(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str =
     # the input's splits are bounded in bytes, so with as many shards a shard is, too
     n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return stage(ordered.mapInArrow(T.tidy(work), "shard int, file int, ids bigint, content binary"), "none")
+    return stage(ordered.mapInArrow(T.tidy(work), "shard int, file int, ids bigint, content binary"), "none", group_bytes=GROUP_BYTES)
 
 
 def read_files(files: DataFrame) -> DataFrame:

@@ -91,10 +91,11 @@ def answers(requests: DataFrame) -> DataFrame:
 
 
 def attach(blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-    """blocks with a column of replies (null where nothing is shared)."""
+    """blocks with a column of replies (null where nothing is shared). Replies beyond a broadcast are the hashed side of a join by shuffle, as
+    a sort would hold the blocks, of some megabytes each."""
     size = replies.select(F.sum(F.aggregate("replies", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x["shared"]) + F.coalesce(F.octet_length(x["first"]), F.lit(0)) + 32))).first()[0] or 0
     side = replies.withColumnRenamed("replies", name)
-    return blocks.join(F.broadcast(side) if size <= staging.BROADCAST_BYTES else side, "block_id", "left")
+    return blocks.join(F.broadcast(side) if size <= staging.BROADCAST_BYTES else side.hint("shuffle_hash"), "block_id", "left")
 
 
 def flags(distinct: np.ndarray, replies: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ from . import exchange as X
 from . import staging
 from . import textkit as T
 from .components import components
-from .staging import discard, release_shuffles, small, small_batches, stage
+from .staging import GROUP_BYTES, discard, release_shuffles, small, small_batches, stage
 
 #: Production parameters of the contract: words of a shingle, and the threshold in percent.
 SHINGLE, PERCENT = 4, 85
@@ -195,7 +195,7 @@ def _blocks(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 yield _packed(block, (doc_ids[i:j], absent[i:j], text_keys[i:j], np.arange(row, row + j - i), np.diff(o), *prints(h, o), *keys(h, o, sizes)))
                 block, row = block + 1, row + j - i
 
-    return stage(small_batches(docs).mapInArrow(T.tidy(work), _BLOCK), "none")
+    return stage(small_batches(docs).mapInArrow(T.tidy(work), _BLOCK), "none", group_bytes=GROUP_BYTES)
 
 
 def _finer_blocks(picked: DataFrame, percent: int, width: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _finer_blocks(picked: DataFrame, percent: int, width: int) -> DataFrame:
             yield _packed(block, (none, none, none, table.column("id").to_numpy(), np.diff(o), *prints(h, o), *keys(h, o, sizes)))
             block += 1
 
-    return stage(picked.mapInArrow(T.tidy(work), _BLOCK), "none")
+    return stage(picked.mapInArrow(T.tidy(work), _BLOCK), "none", group_bytes=GROUP_BYTES)
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, ...]:

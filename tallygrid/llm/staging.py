@@ -27,22 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Rows that are handed to a Python worker at once. A batch of whole texts is held several times over (vectors, stream, worker).
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
-    """docs, whose texts will go to Python workers; the session's batches are cut down to BATCH_ROWS if they are larger."""
-    if not 0 < int(docs.sparkSession.conf.get(BATCH)) <= BATCH_ROWS:
-        docs.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
+    """docs, whose texts will go to Python workers; the session's batches are cut down to BATCH_ROWS and BATCH_BYTES (and a row) if they are larger."""
+    for name, most in ((BATCH, BATCH_ROWS), (BATCH_SIZE, BATCH_BYTES)):
+        if not 0 < int(docs.sparkSession.conf.get(name).removesuffix("b")) <= most:
+            docs.sparkSession.conf.set(name, str(most))
     return docs
 
 
-def stage(df: DataFrame, compression: str = "zstd", light: bool = False) -> DataFrame:
+#: Parquet looks at a page's and a row group's size after 100 rows only, and a reader holds a page whole.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.enable.dictionary": "false"}
+GROUP_BYTES = 8 << 20
+
+
+def stage(df: DataFrame, compression: str = "zstd", light: bool = False, group_bytes: int | None = None) -> DataFrame:
     """Write `df` once and read it again. `light`: narrow rows in few files, as each file costs a task and a directory entry;
-    they are dealt anew once they are computed, so that the work before keeps all its tasks."""
+    they are dealt anew once they are computed, so that the work before keeps all its tasks. `group_bytes`: rows are of some megabytes each;
+    tasks that write or read them hold about that much of a file at once."""
     if light:
         df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **(LARGE_ROWS | {"parquet.block.size": str(group_bytes)} if group_bytes else {})).parquet(path)
     _written.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path

@@ -58,7 +58,7 @@ def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], absent[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))], ["block_id", "doc_ids", "absent", "offsets", "data"])
                 number += 1
 
-    return stage(small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), _BLOCK))
+    return stage(small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(T.tidy(work), _BLOCK), group_bytes=2 * limit)
 
 
 class Block:

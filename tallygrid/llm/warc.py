@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .staging import small, small_batches, stage
+from .staging import GROUP_BYTES, small, small_batches, stage
 
 #: Payloads of fewer bytes are not worth a revisit record.
 LEAST = 1000
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     side = small(marks(stage(records.select("page_id", "payload_digest", "payload_bytes")), least), 80)
     side = side.withColumnsRenamed({"page_id": "_page_id", "payload_digest": "_digest"})
     found = records.join(side, records["page_id"].eqNullSafe(F.col("_page_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    return stage(found.select("page_id", "url", "payload", "payload_digest", "refers_to", F.coalesce("repeated", F.lit(False)).alias("repeated")).mapInArrow(T.tidy(_write), "archive int, segment int, content binary"), "none")
+    return stage(found.select("page_id", "url", "payload", "payload_digest", "refers_to", F.coalesce("repeated", F.lit(False)).alias("repeated")).mapInArrow(T.tidy(_write), "archive int, segment int, content binary"), "none", group_bytes=GROUP_BYTES)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

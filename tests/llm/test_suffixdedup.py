@@ -1,9 +1,14 @@
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid.llm import exchange as X
+from tallygrid.llm import staging
 from tallygrid.llm import suffixdedup as S
+from tallygrid.llm.staging import BATCH_BYTES, BATCH_SIZE
 
 
 def run(spark, texts, **kw):
@@ -45,6 +50,26 @@ def test_null_ids_beside_large_ones(spark):
     assert got == sorted([(None, 250, 0), (far, 231, 1), (None, 0, 0), (far + 1, 5, 5)], key=str)
 
 
+def test_blocks_are_read_and_handed_over_a_few_at_a_time(spark):
+    """One task writes many blocks: no row group holds more than eight of them, and batches are bounded by their bytes."""
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(k, "".join(rnd.choices("abcdefgh", k=40_000))) for k in range(60)], "doc_id long, text string").coalesce(1)
+    blocks = S.text_blocks(docs, limit=40_000)
+    (file,) = Path(blocks._stage_path.removeprefix("file:")).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 60 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 8
+    assert int(spark.conf.get(BATCH_SIZE).removesuffix("b")) <= BATCH_BYTES
+
+
+def test_large_replies_are_hashed_rather_than_blocks_sorted(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    replies = spark.createDataFrame([(1, [(0, b"x", None)])], "block_id long, replies array<struct<bucket:int,shared:binary,first:binary>>")
+    plan = X.attach(spark.range(3).withColumnRenamed("id", "block_id"), replies, "r")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    texts = {d: "repeated " * 40 + str(d) for d in range(30)}
+    assert run(spark, list(texts.items()), limit=700) == S.brute_force(texts)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
