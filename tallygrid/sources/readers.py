@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.functions import text as X
+from tallygrid.written import small_batches
 
 #: Schemas of the tables that the registered queries read.
 TABLES = {
@@ -26,7 +27,7 @@ TABLES = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(TABLES[name]) if name in TABLES and name != "events" else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(reader.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -195,7 +196,7 @@ def spam_corpus(rows: DataFrame, most_garbled: float = 0.01) -> DataFrame:
 
 def dump_table(lines: DataFrame, name: str, columns: str) -> DataFrame:
     """One table of a dump: other lines are dropped by their prefix before any is parsed. Columns come as strings and are cast."""
-    mine = lines.filter(F.startswith("value", F.lit(f"INSERT INTO `{name}` VALUES ")))
+    mine = small_batches(lines).filter(F.startswith("value", F.lit(f"INSERT INTO `{name}` VALUES ")))
     schema = T.StructType.fromDDL(columns)
     loose = ", ".join(f"{f.name} string" for f in schema.fields)
     rows = mine.select("value").mapInPandas(X.dump_rows(loose), loose)

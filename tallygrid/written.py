@@ -35,6 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows and bytes that a Python worker is handed at once; a batch is held several times over (vectors, stream, values, result).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose texts may go to Python workers; larger batches of its session are cut down to BATCHES."""
+    for name, most in BATCHES.items():
+        if not 0 < int(df.sparkSession.conf.get(name).removesuffix("b")) <= most:
+            df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def remove(table: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     _delete(table.sparkSession, table._written_path)
