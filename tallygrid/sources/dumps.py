@@ -88,7 +88,8 @@ def tagged_corpus(posts: DataFrame, tags: DataFrame, groups: DataFrame) -> tuple
     """Merged posts (text, ids, tags, sentiments; maps by number) and the tags (id, name, group_id, group). posts: id, message, caption, tag, sentiment and their place; tags: id, name, group_id; groups: id, name."""
     from tallygrid.operators.corpus import merge_copies
 
-    rows = numbered(posts, "row_id").select("row_id", "id", X.post_text(F.col("message"), F.col("caption")).alias("text"), "tag", "sentiment")
+    short = written(posts.select(*PLACE, "row", "id", X.post_text(F.col("message"), F.col("caption")).alias("text"), "tag", "sentiment"))
+    rows = written(numbered(short, "row_id").select("row_id", "id", "text", "tag", "sentiment"))  # read several times: tidied once, cut before it is sorted
     named = tags.select("id", "name", "group_id").join(groups.select(F.col("id").alias("group_id"), F.col("name").alias("group")), "group_id", "left")
     return merge_copies(rows), named.select("id", "name", "group_id", "group")
 

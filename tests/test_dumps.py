@@ -79,3 +79,14 @@ def test_corpus_and_its_cache(spark):
     assert sorted(map(tuple, named.collect())) == [(3, "x", 1, "one"), (4, "y", 2, "two"), (5, "z", 9, None)]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         spark.createDataFrame([({"x": 1},)], "m map<string,int>").select(D.int_keys(F.col("m"))).collect()
+
+
+def test_texts_are_tidied_once(spark):
+    """What is merged are written rows: neither the texts nor their numbers are worked out anew for each count."""
+    place = "file string, block bigint, place bigint, row int, "
+    posts = spark.createDataFrame([("f", 0, k, 0, k, f"text  {k % 3}", None, k % 2, 1) for k in range(9)], place + "id bigint, message string, caption string, tag int, sentiment int")
+    tags = spark.createDataFrame([(0, "a", 0), (1, "b", 0)], "id int, name string, group_id int")
+    merged, _ = D.tagged_corpus(posts, tags, spark.createDataFrame([(0, "g")], "id int, name string"))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Window" not in plan
+    assert {r.text: (r.ids, r.tags, r.sentiments) for r in merged.collect()} == {f"text {k}": ([k, k + 3, k + 6], {k % 2: 2, 1 - k % 2: 1}, {1: 3}) for k in range(3)}
