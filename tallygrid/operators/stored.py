@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.written import written
-
 #: Levels of a configuration; a deeper one fails.
 MOST_LEVELS = 32
+#: So many brackets of a configuration are taken for its levels.
+FEW_LEVELS = 8
 
 
 # --- selections ------------------------------------------------------------------------------------------------------------
@@ -53,33 +53,47 @@ def selection_drift(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame
 # --- configurations --------------------------------------------------------------------------------------------------------
 
 
+def depth(config: Column) -> Column:
+    """Levels of objects and lists in JSON text, from its brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(config, r"\\.", ""), r'"[^"]*"|[^"\[\]{}]+', "")
+    at = lambda s, c: s["at"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda s, c: F.struct(at(s, c).alias("at"), F.greatest(s["most"], at(s, c)).alias("most")), lambda s: s["most"])
+
+
+def levels(configs: DataFrame, config: str) -> int:
+    """Levels that hold every configuration. Opening brackets are counted, which costs little; only where they are more than FEW_LEVELS the depth is."""
+    text = F.col(config)
+    opened = 2 * F.octet_length(text) - F.octet_length(F.replace(text, F.lit("{"))) - F.octet_length(F.replace(text, F.lit("[")))
+    most = configs.agg(F.max(F.when(opened <= FEW_LEVELS, opened).otherwise(depth(text)))).first()[0] or 0
+    if most > MOST_LEVELS:
+        raise ValueError(f"a configuration has more than {MOST_LEVELS} levels")
+    return most
+
+
+def at_or_below(path: str) -> Column:
+    return (F.col("path") == path) | F.startswith("path", F.lit(f"{path}.")) | F.startswith("path", F.lit(f"{path}["))
+
+
 def paths(configs: DataFrame, key: str, config: str) -> DataFrame:
-    """(key, path, kind, value): a row a leaf of each configuration (JSON text), read as a variant and taken apart level by level. A path is $.name[0].name; an empty object or list is a leaf, and so is null. Broken JSON fails
-    the query."""
-    level = configs.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.parse_json(config).alias("v"))
-    out = None
-    for _ in range(MOST_LEVELS):
-        level = level.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
-        inner = F.col("kind").isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
-        leaves = level.filter(~inner).select("key", "path", "kind", F.to_json("v").alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        nested = written(level.filter(inner).select("key", "path", "kind", "v"))
-        if nested.isEmpty():
-            return out
-        rows = nested.sparkSession.sql("SELECT n.key, n.path, n.kind AS around, e.pos, e.key AS name, e.value AS v FROM {nested} n, LATERAL variant_explode(n.v) e", nested=nested)
-        step = F.when(F.col("around") == "ARRAY", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "name"))
-        level = rows.select("key", F.concat("path", step).alias("path"), "v")
-    raise ValueError(f"a configuration has more than {MOST_LEVELS} levels")
+    """(key, path, kind, value): a row a leaf of each configuration (JSON text), read as a variant and taken apart level by level in one pass. A path is $.name[0].name; an empty object or list is a leaf, and so is null.
+    Broken JSON fails the query."""
+    rows = configs.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.parse_json(config).alias("v"))
+    # What has nothing to explode stays as it is, so a leaf may be met on every level.
+    step = "CASE WHEN e.pos IS NULL THEN '' WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END"
+    for _ in range(levels(configs, config)):
+        rows = rows.sparkSession.sql(f"SELECT n.key, concat(n.path, {step}) AS path, CASE WHEN e.pos IS NULL THEN n.v ELSE e.value END AS v FROM {{rows}} n, LATERAL variant_explode_outer(n.v) e", rows=rows)
+    kind = F.substring_index(F.substring_index(F.schema_of_variant("v"), "<", 1), "(", 1)
+    return rows.filter("v is not null").select("key", "path", kind.alias("kind"), F.to_json("v").alias("value"))
 
 
 def config_diff(old: DataFrame, new: DataFrame, key: str, config: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """Two configurations of each key by path: added, missing, retyped or changed, with both values. What stands at or below an ignored path is left out. Numbers are equal as their JSON is, so 1 and 1.0 differ by kind."""
-    a = paths(old, key, config).withColumnsRenamed({"kind": "_ka", "value": "old"})
-    b = paths(new, key, config).withColumnsRenamed({"kind": "_kb", "value": "new"})
+    a, b = paths(old, key, config), paths(new, key, config)
+    for path in ignore:
+        a, b = a.filter(~at_or_below(path)), b.filter(~at_or_below(path))
+    a, b = a.withColumnsRenamed({"kind": "_ka", "value": "old"}), b.withColumnsRenamed({"kind": "_kb", "value": "new"})
     fate = F.when(F.col("_ka").isNull(), "added").when(F.col("_kb").isNull(), "missing").when(F.col("_ka") != F.col("_kb"), "retyped").when(F.col("old") != F.col("new"), "changed")
     rows = a.join(b, ["key", "path"], "full").withColumn("difference", fate).filter("difference is not null")
-    for path in ignore:
-        rows = rows.filter(~((F.col("path") == path) | F.startswith("path", F.lit(f"{path}.")) | F.startswith("path", F.lit(f"{path}["))))
     return rows.select(F.col("key").alias(key), "path", "difference", "old", "new")
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid import written
 from tallygrid.operators import stored as S
 
 KEY, CONTENT = ["domain", "id"], ["text", "n"]
@@ -51,6 +52,35 @@ def test_config_diff(spark):
     assert [tuple(r) for r in S.config_diff(frame(), frame(7), "run", "config").collect()] == [(0, "$", "added", None, "7")]
 
 
+def nested(levels, inner):
+    for k in range(levels):
+        inner = [inner] if k % 2 else {"a": inner}
+    return inner
+
+
+def leaves(value, path="$"):
+    steps = [(f".{k}", v) for k, v in value.items()] if isinstance(value, dict) else [(f"[{k}]", v) for k, v in enumerate(value)] if isinstance(value, list) else []
+    return [leaf for step, v in steps for leaf in leaves(v, path + step)] if steps else [(path, json.dumps(value))]
+
+
+def test_configurations_are_read_once_and_not_written(spark):
+    """A table was written and read again for each level, and the text parsed for each use of it."""
+    few = [OLD, NEW, 7, None, [], {"a.b": [], "c": {"d": ["}]", "\\", '\\"{']}}]
+    many = [nested(20, 1), nested(32, None), {"s": ["[{" * 40, "\\", '"' * 9, '\\"[']}, [[k, {}] for k in range(100)], [nested(k, k) for k in range(12)]]
+    tables = list(written._tables)
+    for configs, levels in ((few, 3), (many[2:3], 2), (many, 32)):
+        texts = [(k, json.dumps(c)) for k, c in enumerate(configs)] + [(99, None)]
+        df = S.paths(spark.createDataFrame(texts, "run long, config string").repartition(3), "run", "config")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson") == 1 and levels <= plan.count("variant_explode(") <= max(levels, S.FEW_LEVELS)
+        assert sorted((r.key, r.path, r.value) for r in df.collect()) == sorted((k, *leaf) for k, c in enumerate(configs) for leaf in leaves(c))
+    assert written._tables == tables
+    with pytest.raises(ValueError, match="more than 32 levels"):
+        S.paths(spark.createDataFrame([(0, json.dumps(nested(33, 1)))], "run long, config string"), "run", "config")
+    with pytest.raises(Exception, match="MALFORMED"):
+        S.paths(spark.createDataFrame([(0, "{")], "run long, config string"), "run", "config").collect()
+
+
 def test_pairs_point_at_each_other(spark):
     rows = [("c", "q1", None), ("c", "q2", "q1"), ("d", "q1", "q2"), ("d", "q2", "q1"), ("c", "q3", None), (None, "x", None), (None, "y", "x")]
     frame = lambda rs: spark.createDataFrame([(*r, 1) for r in rs], "context string, key string, other_of string, pair_no int").repartition(3)
